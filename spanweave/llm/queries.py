@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, spm
+from . import mixing, quality, reshard, simhash, spm, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,37 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 old shards, by id, to 40 of equal bytes."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text).cast("long") + 16).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(32)).cast("int").alias("old_shard"),
+    )
+    return reshard.reshard(rows, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard",
+    )
+
+
+def op3_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.clean_lines(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op5_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spm.encode_decode(docs, tokenizer_path()).drop("text")
@@ -29,8 +61,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_resharding": op2_resharding,
+    "op3_line_first_cleaning": op3_line_first_cleaning,
+    "op5_apportioned_mix": op5_apportioned_mix,
+    "op8_block_top_k": op8_block_top_k,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_apportioned_mix": mixing.MIX_SQL,
+    "op8_block_top_k": topk.TOP_K_SQL,
+}
