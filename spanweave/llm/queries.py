@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, reshard, simhash, spm, topk
+from . import html_extract, lm_score, mixing, quality, reshard, secret_scan, simhash, spm, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 32 old shards, by id, to 40 of equal bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -46,6 +50,24 @@ def op5_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    kinds = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{name}") for k, (name, *_) in enumerate(secret_scan.BASE)]
+    return found.select(
+        "doc_id", *kinds, F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.span_text(F.col("all_spans")).alias("spans"),
+    )
+
+
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good; the background is every document."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", lm_score.fold_of("doc_id").alias("fold"))
+    marked = docs.join(good.withColumn("is_target", F.lit(True)), "doc_id", "left")
+    return lm_score.score(docs, lm_score.fit(marked)).drop("text", "fold")
+
+
 def op8_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -61,9 +83,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_suffix_text": op1_host_suffix_text,
     "op2_resharding": op2_resharding,
     "op3_line_first_cleaning": op3_line_first_cleaning,
     "op5_apportioned_mix": op5_apportioned_mix,
+    "op6_markov_secrets": op6_markov_secrets,
+    "op7_cross_entropy_difference": op7_cross_entropy_difference,
     "op8_block_top_k": op8_block_top_k,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
