@@ -22,14 +22,17 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Runs kept per worker, and the longest run that is kept.
-KEPT_RUNS, KEPT_CHARS = 200_000, 48
+#: Runs kept in each of a worker's two tables (newer and older), and the longest run that is kept.
+KEPT_RUNS, KEPT_CHARS = 400_000, 48
+#: Results of the neighbour check kept per worker.
+KEPT_PAIRS = 500_000
 
 
 class PieceModel:
@@ -63,13 +66,16 @@ class PieceModel:
             if len(p) > 1 and s in seen:
                 odd |= {p, seen[s]}
             seen[s] = p
-        self.odd = odd
+        self.odd = re.compile("|".join(map(re.escape, sorted(odd, key=len)))) if odd else None
         self.aho = ahocorasick.Automaton()
-        for p in {*self.ids, *odd}:
-            self.aho.add_word(p, (len(p), p in odd))
+        for p in self.ids:
+            self.aho.add_word(p, len(p))
         self.aho.make_automaton()
+        self.surface = [p.replace(MARK, " ") for p in self.pieces]
+        self.surface[self.unknown] = " ⁇ "
         self.pairs: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def _merge(self, text: str) -> tuple[list[str], list[tuple[str, str]]]:
         """Step-by-step merging by highest score, leftmost first."""
@@ -102,24 +108,20 @@ class PieceModel:
 
     def _holds(self, left: str, right: str) -> bool:
         """Whether re-merging ``left + right`` gives these two pieces again."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            parts, _ = self._merge(left + right)
-            known = parts == [left, right]
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        self.pairs[left, right] = known = self._merge(left + right)[0] == [left, right]
         return known
 
     def _backtrack(self, text: str) -> list[str]:
         """Pieces of a run whose characters all occur in pieces."""
+        if self.odd and self.odd.search(text):
+            return self._merge(text)[0]
         n = len(text)
         starts: list[list[int]] = [[] for _ in range(n)]
-        for end, (size, odd) in self.aho.iter(text):
-            if odd:
-                return self._merge(text)[0]
+        for end, size in self.aho.iter(text):
             starts[end - size + 1].append(size)
-        failed = 0
+        failed, pairs = 0, self.pairs
         stack: list[tuple[int, int]] = []  # start of a piece, its place in starts[start]
         at, k = 0, len(starts[0]) - 1
         while at < n:
@@ -128,8 +130,8 @@ class PieceModel:
                 if not failed >> (at + size) & 1:
                     if not stack:
                         break
-                    p, q = stack[-1]
-                    if self._holds(text[p:at], text[at : at + size]):
+                    pair = (text[stack[-1][0] : at], text[at : at + size])
+                    if pairs[pair] if pair in pairs else self._holds(*pair):
                         break
                 k -= 1
             if k >= 0:
@@ -147,6 +149,11 @@ class PieceModel:
     def _run(self, run: str) -> tuple[int, str, str]:
         """Number of ids, the ids as text, and what they decode to."""
         ids: list[int] = []
+        if self.chars.issuperset(run):
+            for p in self._backtrack(run):
+                i = self.ids.get(p)
+                ids.extend(self._id(p) if i is None else (i,))
+            return len(ids), ",".join(map(str, ids)), self._surface(ids)
         known: list[str] = []
 
         def flush() -> None:
@@ -173,6 +180,8 @@ class PieceModel:
 
     def _surface(self, ids: list[int]) -> str:
         """Pieces as text; byte pieces in a row are read as UTF-8."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.surface[i] for i in ids])
         out: list[str] = []
         held = bytearray()
         for i in [*ids, -1]:
@@ -183,7 +192,7 @@ class PieceModel:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
             if i >= 0:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i].replace(MARK, " "))
+                out.append(self.surface[i])
         return "".join(out)
 
     def runs(self, text: str) -> list[tuple[int, str, str]]:
@@ -191,18 +200,23 @@ class PieceModel:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)
-        out, kept = [], self.kept
-        for run in RUN.findall(marked) if self.cuts else [marked]:
-            got = kept.get(run)
-            if got is None:
-                got = self._run(run)
-                if len(run) <= KEPT_CHARS:
-                    if len(kept) >= KEPT_RUNS:
-                        kept.clear()
-                    kept[run] = got
-            out.append(got)
+        parts = RUN.findall(marked) if self.cuts else [marked]
+        out = list(map(self.kept.get, parts))
+        if None in out:
+            for k, (run, got) in enumerate(zip(parts, out)):
+                if got is None:
+                    out[k] = self._kept_run(run)
         return out
 
+    def _kept_run(self, run: str) -> tuple[int, str, str]:
+        """A run that isn't in the newer table: from the older one, or made."""
+        got = self.kept.get(run) or self.older.get(run) or self._run(run)
+        if len(run) <= KEPT_CHARS:
+            if len(self.kept) >= KEPT_RUNS:
+                self.older, self.kept = self.kept, {}
+            self.kept[run] = got
+        return got
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, s, _ in self.runs(text) for i in s.split(",")]
 
@@ -226,7 +240,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids
     """Encode every text, decode the ids again, and add what came out.
 
     Adds ``n_tokens`` (long), ``ids_sha256``, ``decoded_sha256``, and with
-    ``with_ids`` also ``token_ids`` (array<int>) and ``decoded`` (string).  All
+    ``with_ids`` also ``token_ids`` (array<int>).  All
     columns of ``docs`` stay; of the same names, the new ones replace the old.
     A null text counts as empty: no ids, and the digests of nothing.  The model
     file (under 1 MB) is read once by the driver and travels with the function;
@@ -236,7 +250,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids
         data = f.read()
     new = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
     if with_ids:
-        new += ["token_ids array<int>", "decoded string"]
+        new += ["token_ids array<int>"]
 
     @F.pandas_udf(", ".join(new))
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -244,13 +258,12 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids
         for batch in batches:
             rows = []
             for t in batch:
-                runs = model.runs(t or "")
-                joined = ",".join(r[1] for r in runs)
-                surface = "".join(r[2] for r in runs)
-                surface = surface.removeprefix(" ")
-                row = [sum(r[0] for r in runs), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(surface.encode()).hexdigest()]
+                counts, id_parts, surfaces = zip(*model.runs(t)) if t else ((), (), ())
+                joined = ",".join(id_parts)
+                surface = "".join(surfaces).removeprefix(" ")
+                row = [sum(counts), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(surface.encode()).hexdigest()]
                 if with_ids:
-                    row += [[int(i) for i in joined.split(",")] if joined else [], surface]
+                    row.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in new])
 
