@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, lm_score, mixing, quality, reshard, secret_scan, simhash, spm, topk
+from . import html_extract, line_dedup, lm_score, mixing, quality, reshard, secret_scan, simhash, spm, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op3_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its remaining text and how many lines went."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_suffix_text": op1_host_suffix_text,
     "op2_resharding": op2_resharding,
     "op3_line_first_cleaning": op3_line_first_cleaning,
+    "op4_fuzzy_lines": op4_fuzzy_lines,
     "op5_apportioned_mix": op5_apportioned_mix,
     "op6_markov_secrets": op6_markov_secrets,
     "op7_cross_entropy_difference": op7_cross_entropy_difference,
