@@ -107,6 +107,9 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: float = 0.4, max_
         _repeat_words(F.col("_grams"), n).alias("n_repeat_words"),
         F.array_join(good, "\n").alias("cleaned_text"),
     )
+    # a generated row: a filter on the results isn't pushed below it, into the array functions
+    made = [c for c in judged.columns if c not in base.columns]
+    judged = judged.select(*base.columns, F.inline(F.array(F.struct(*made))))
     left = F.length(F.translate("cleaned_text", " \t\n\x0b\x0c\r", ""))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
