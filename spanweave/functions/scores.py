@@ -6,6 +6,7 @@ from math import sqrt
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def merged_score(values: list[float] | None) -> float | None:
@@ -25,6 +26,6 @@ def merged_score(values: list[float] | None) -> float | None:
     return v[0]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def score(lists: pd.Series) -> pd.Series:
     return lists.map(merged_score)
