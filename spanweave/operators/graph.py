@@ -108,3 +108,39 @@ def without_dead_ends(arcs: DataFrame, sources: DataFrame, drains: DataFrame, ke
     live = ahead.join(back, [*keys, "node"])
     at = lambda c: live.select(*keys, F.col("node").alias(c))
     return arcs.join(at("a"), [*keys, "a"], "left_semi").join(at("b"), [*keys, "b"], "left_semi").select(*arcs.columns)
+
+
+def contained_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs ``inner, outer`` of exon sets where one is a stretch of the other.
+
+    ``bins`` has ``exon_ids`` (sorted, without repeats) and no repeated rows.
+    The outer set is listed at each of its exons and meets the sets that begin
+    there, so only sets with a shared exon are held against each other.
+    """
+    outer = bins.select(*keys, F.col("exon_ids").alias("outer"), F.posexplode("exon_ids").alias("_at", "_first"))
+    inner = bins.select(*keys, F.col("exon_ids").alias("inner"), F.get("exon_ids", F.lit(0)).alias("_first"))
+    met = outer.join(inner, [*keys, "_first"]).where(F.size("inner") < F.size("outer"))
+    return met.where(F.slice("outer", F.col("_at") + 1, F.size("inner")) == F.col("inner")).select(*keys, "inner", "outer")
+
+
+def overlapping_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs ``left, right`` where a real suffix of one is a real prefix of the other."""
+    left = bins.select(*keys, F.col("exon_ids").alias("left"), F.posexplode("exon_ids").alias("_at", "_first")).where("_at > 0")
+    right = bins.select(*keys, F.col("exon_ids").alias("right"), F.get("exon_ids", F.lit(0)).alias("_first"))
+    shared = F.size("left") - F.col("_at")
+    met = left.join(right, [*keys, "_first"]).where(shared < F.size("right"))
+    return met.where(F.slice("left", F.col("_at") + 1, shared) == F.slice("right", 1, shared)).select(*keys, "left", "right")
+
+
+def heaviest_arcs(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each node's heaviest out-arc per sample, the nearest of equals."""
+    best = F.max_by(F.struct("b", "n"), F.struct(F.col("n"), -F.col("b"))).alias("_x")
+    return arcs.groupBy(*keys, "a", "sample_id").agg(best).select(*keys, "a", "sample_id", "_x.b", "_x.n")
+
+
+def unary_arcs(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Arcs that are the only one out of their start and the only one into their end."""
+    own = arcs.select(*keys, "a", "b").distinct()
+    out = own.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("_o")).where("_o = 1")
+    into = own.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("_i")).where("_i = 1")
+    return own.join(out, [*keys, "a"], "left_semi").join(into, [*keys, "b"], "left_semi").select(*keys, "a", "b")

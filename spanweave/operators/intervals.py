@@ -133,3 +133,8 @@ def without_nested(spans: DataFrame, inner: DataFrame, keys: Sequence[str], bin_
     hit = overlap_join(gaps, held, keys, ("_l", "_r"), ("start", "end"), bin_size)
     hit = hit.where("id <> _id and start >= _l and end <= _r and flow >= _flow and score >= _score")
     return spans.join(hit.select(F.col("_id").alias("id")).distinct(), "id", "left_anti")
+
+
+def away_from(points: DataFrame, fixed: DataFrame, keys: Sequence[str], most: int, bin_size: int = BIN) -> DataFrame:
+    """Points with no fixed position within ``most``."""
+    return nearest(points, fixed, keys, most, bin_size).where("mark is null").drop("mark")

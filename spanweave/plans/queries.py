@@ -491,3 +491,76 @@ k as (select *, sum(opens) over (partition by user_id order by ts, event_id) as
 select user_id, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from k group by user_id, no""")
 def event_blocks(spark, d):
     return blocks.event_blocks(fixtures.table(spark, d, "events"))
+
+
+BINS = ATOMS + """
+, bins as (select distinct chrom, strand, list_transform(string_split(exon_ids, ','), lambda z: cast(z as bigint)) as e from atoms)
+"""
+
+
+def _bins(spark: SparkSession, d: str) -> DataFrame:
+    return _atoms(spark, d).select(*KEYS, "exon_ids").distinct()
+
+
+def _joined(c: str) -> F.Column:
+    return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+
+
+@query(aligned(BINS + """
+select i.chrom, i.strand, array_to_string(i.e, ',') as "inner", array_to_string(o.e, ',') as "outer"
+from bins i join bins o on o.chrom = i.chrom and o.strand = i.strand and len(i.e) < len(o.e) and list_contains(o.e, i.e[1])
+where o.e[list_position(o.e, i.e[1]):list_position(o.e, i.e[1]) + len(i.e) - 1] = i.e"""))
+def bin_containment(spark, d):
+    return graph.contained_bins(_bins(spark, d), KEYS).select(*KEYS, _joined("inner"), _joined("outer"))
+
+
+@query(aligned(BINS + """
+select l.chrom, l.strand, array_to_string(l.e, ',') as "left", array_to_string(r.e, ',') as "right"
+from bins l join bins r on l.chrom = r.chrom and l.strand = r.strand and list_position(l.e, r.e[1]) > 1
+where len(l.e) - list_position(l.e, r.e[1]) + 1 < len(r.e)
+  and l.e[list_position(l.e, r.e[1]):len(l.e)] = r.e[1:len(l.e) - list_position(l.e, r.e[1]) + 1]"""))
+def bin_overlap(spark, d):
+    return graph.overlapping_bins(_bins(spark, d), KEYS).select(*KEYS, _joined("left"), _joined("right"))
+
+
+@query(aligned(STEPS + """
+select chrom, strand, a, sample_id, b, n from (
+  select *, row_number() over (partition by chrom, strand, a, sample_id order by n desc, b) as rk from arcs) where rk = 1"""))
+def heaviest_arc(spark, d):
+    return graph.heaviest_arcs(_graph(spark, d)[1], KEYS)
+
+
+@query(aligned(STEPS + """
+, own as (select distinct chrom, strand, a, b from arcs)
+select chrom, strand, a, b from (
+  select *, count(*) over (partition by chrom, strand, a) as o, count(*) over (partition by chrom, strand, b) as i from own) where o = 1 and i = 1"""))
+def unary_chain_arcs(spark, d):
+    return graph.unary_arcs(_graph(spark, d)[1], KEYS)
+
+
+@query(aligned(BOUNDS + """
+, p as (select distinct chrom, strand, kind, pos from marks)
+select p.* from p where not exists (
+  select 1 from part where p.pos between p_partkey * 400 + 9 and p_partkey * 400 + 11)"""))
+def boundaries_off_known(spark, d):
+    """Boundaries that no annotated one, one position to either side, explains."""
+    marks = reads.boundaries(_segments(spark, d)).select(*KEYS, "kind", "pos").distinct()
+    known = fixtures.table(spark, d, "part").select(F.lit(0).alias("k"), (F.col("p_partkey") * 400 + 10).alias("pos"))
+    return intervals.away_from(marks.withColumn("k", F.lit(0)), known, ["k"], 1).select(*KEYS, "kind", "pos")
+
+
+@query(transcribed("""
+, whole as (
+  select chrom, id, 0 as no, chrom || chr(9) || 'spanweave' || chr(9) || 'transcript' || chr(9) || start || chr(9) || "end" || chr(9) || '.' || chr(9) || '+' || chr(9) || '.' || chr(9)
+    || 'gene_id "g' || gene || '"; transcript_id "t' || id || '"; FPKM "' || printf('%.6f', flow::double) || '"; cov "' || printf('%.6f', mean) || '";' as value from transcripts),
+parts as (
+  select chrom, id, row_number() over (partition by id order by start) as no, chrom || chr(9) || 'spanweave' || chr(9) || 'exon' || chr(9) || start || chr(9) || "end" || chr(9) || '.' || chr(9) || '+'
+    || chr(9) || '.' || chr(9) || 'gene_id "g' || gene || '"; transcript_id "t' || id || '";' as value from tx_exons)
+select value from whole union all select value from parts"""))
+def gtf_output(spark, d):
+    """Every transcript and exon as a GTF line."""
+    t = fixtures.transcripts(spark, d).select(
+        "chrom", F.lit("+").alias("strand"), F.format_string("g%d", "gene").alias("gene_id"), F.format_string("t%d", "id").alias("transcript_id"),
+        F.col("flow").alias("fpkm"), F.col("mean").alias("cov"), "exons",
+    )
+    return text.gtf_lines(t).select("value")
