@@ -51,7 +51,7 @@ def _repeat_words(grams: Column, n_words: Column) -> Column:
     """
     same = lambda i, j: F.get(grams, i)["h"] == F.get(grams, j)["h"]
     twice = F.filter(grams, lambda g, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
-    places = F.array_sort(F.transform(twice, lambda g: g["p"]))
+    places = F.sort_array(F.transform(twice, lambda g: g["p"]))
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     return F.aggregate(
         places,
@@ -80,7 +80,7 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: float = 0.4, max_
     n = F.size(w)
     hashes = F.when(
         n >= 3,
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
                 lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")),
