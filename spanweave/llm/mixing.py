@@ -76,6 +76,7 @@ def mix(
     shard_words: int = 1 << 17,
     max_shards: int = 4096,
     seed: int = 42,
+    key: str | None = None,
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, whole, part`` per document.
 
@@ -84,13 +85,16 @@ def mix(
     each ``shard_words`` words, ``max_shards`` at most; a shard's documents are
     ordered by the digest of seed and id.  Null texts have size 0 and are never
     taken; null sources are a source, null ids are ids; rows with equal ids
-    are documents of their own.  An empty table gives no rows.
+    are documents of their own.  An empty table gives no rows.  ``key`` names a
+    column that is unique; it orders rows of one id and size, and is returned.
     """
+    own = [F.col(key).alias("_key")] if key else []
     sized = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary")).alias("_digest"),
+        *own,
     )
     sized = materialize(sized)
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share)
@@ -112,7 +116,7 @@ def mix(
         F.floor(F.pmod("quota", "_n") * F.col("_words") / F.col("_n")).alias("_cut"),
     )
     stats = materialize(stats)
-    order = Window.partitionBy(*keys).orderBy("_digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*keys).orderBy("_digest", "doc_id", "size", *["_key" for _ in own]).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.least(F.greatest(F.col("_cut") - start, F.lit(0)), F.col("size"))
     return (
@@ -121,6 +125,7 @@ def mix(
         .select(
             "doc_id", "source", "size", "source_size", "target",
             (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), "whole", "part",
+            *[F.col("_key").alias(key) for _ in own],
         )
     )
 
@@ -201,11 +206,12 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     A document appears once for each whole round, and once more with its first
     ``part`` words (white space between them as it was) if a round takes a
     part; documents that the mix leaves out go.  ``n_chars``, if there, is the
-    new length.  Rows must have unique ids; a null id keeps nothing.
+    new length.  Null and repeated ids are rows of their own.
     """
-    plan = mix(docs, **options).select("doc_id", "size", "whole", "part").where("whole > 0 or part > 0")
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    plan = mix(keyed, **options, key="_row").select("_row", "size", "whole", "part").where("whole > 0 or part > 0")
     plan = materialize(plan)
-    joined = docs.join(plan, "doc_id")
+    joined = keyed.join(plan, "_row")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), "")
     last = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(cut)
     rounds = F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array(last)).otherwise(F.array().cast("array<string>")))

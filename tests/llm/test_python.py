@@ -244,3 +244,19 @@ def test_pipeline_survives_nulls(spark, tmp_path):
     pipeline.run(spark, str(tmp_path)).collect()
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "e/documents.parquet"))
     assert pipeline.run(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    one, two, three, four = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(4))
+    rows = [(None, one), (None, two), (5, two), (7, three), (7, four), (8, four), (8, four)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for table in (docs, docs.orderBy(F.desc("text")).coalesce(1)):
+        single = pipeline.materialize(pipeline.near_dedup(spark, table, ""))
+        assert single.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text) for r in single.collect()) == sorted([(0, one), (5, two), (7, three), (7, four)])
+    # half as many words again as there are: each text once, and of rows with one id each its own
+    mixed = [(r.doc_id, r.text) for r in pipeline.source_mix(spark, single, "").collect()]
+    assert {(None, one), (5, two), (7, three), (7, four)} <= set(mixed) and len(mixed) <= 8
+    assert abs(sum(len(t.split()) for _, t in mixed) - 360) <= 32
