@@ -1,6 +1,7 @@
 """Operators that are plain DataFrame plans, against brute force."""
 
 import collections
+import random
 import re
 
 import duckdb
@@ -95,6 +96,15 @@ def test_line_dedup_recall_on_table(spark):
     assert all(len(got[i] or "") >= len(want[i] or "") for i in want)
 
 
+def test_spaceless_lines_with_edits_at_the_front(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice(chars) for _ in range(400)) for chars in ("零一二三四五六七八九十百千万", "abcdefghijklmnopqrstuvwxyz0123456789+/")]
+    words += ["https://example.org/" + "/".join(str(rng.randrange(10**6)) for _ in range(40))]
+    docs = [(i, f"{w}\n{w[:3]}#{w[4:]}\n#{w[1:]}") for i, w in enumerate(words)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(words)) == brute_lines(docs)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7), (None, 1)], "a long, b long")
     assert sorted(map(tuple, connected_components(links).collect())) == [(2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8)]
