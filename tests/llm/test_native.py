@@ -105,6 +105,23 @@ def test_spaceless_lines_with_edits_at_the_front(spark):
     assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(words)) == brute_lines(docs)
 
 
+@pytest.mark.parametrize("chunk", [line_dedup.CHUNK, 17])
+def test_near_copies_around_one_frequent_passage(spark, chunk):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passage = "x" + some(400)
+    tails = [some(75) + "yz" for _ in range(100)]
+    docs = [(i, passage + t) for i, t in enumerate(tails)] + [(100 + i, passage + t[:40] + "#" + t[41:]) for i, t in enumerate(tails)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    lines = line_dedup.line_table(table, "doc_id", "text")
+    links = line_dedup.similar_lines(lines.select("k1", line_dedup.bands(F.col("line")).alias("bands")), lines, chunk=chunk)
+    roots = connected_components(links).collect()
+    assert len(roots) == 200 and len({r.root for r in roots}) == 100
+    if chunk == line_dedup.CHUNK:
+        left = {r.doc_id for r in line_dedup.dedup_lines(table).collect() if r.text}
+        assert left == set(range(100)) == {i for i, t in brute_lines(docs).items() if t}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7), (None, 1)], "a long, b long")
     assert sorted(map(tuple, connected_components(links).collect())) == [(2, 2), (3, 2), (4, 2), (5, 2), (8, 8), (9, 8)]
