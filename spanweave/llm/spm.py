@@ -21,18 +21,40 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 MARK = "▁"
 RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Runs kept in each of a worker's two tables (newer and older), and the longest run that is kept.
-KEPT_RUNS, KEPT_CHARS = 400_000, 48
+KEPT_RUNS, KEPT_CHARS = 600_000, 48
 #: Results of the neighbour check kept per worker.
 KEPT_PAIRS = 500_000
+NEVER = float("-inf")
+
+
+class Runs(dict):
+    """Ids of runs as text: looked up, taken over from an older table, or made."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, run: str) -> str:
+        got = self.older.get(run)
+        if got is None:
+            got = self.make(run)
+        if len(run) <= KEPT_CHARS:
+            if len(self) >= KEPT_RUNS:
+                self.older = dict(self)
+                self.clear()
+            self[run] = got
+        return got
 
 
 class PieceModel:
@@ -56,8 +78,12 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         # odd: characters that are no piece, and pieces on whose way scores rise
         odd = {c for c in self.chars if c not in self.ids}
+        self.faithful = not odd
+        self.parts: dict[str, tuple[str, str]] = {}  # the last merge of each piece
         for p in self.ids:
             parts, steps = self._merge(p)
+            if steps and len(parts) == 1:
+                self.parts[p] = steps[-1]
             tops = [self.score[a + b] for a, b in steps]
             if len(parts) != 1 or any(x < y for x, y in zip(tops, tops[1:])):
                 odd.add(p)
@@ -67,15 +93,24 @@ class PieceModel:
                 odd |= {p, seen[s]}
             seen[s] = p
         self.odd = re.compile("|".join(map(re.escape, sorted(odd, key=len)))) if odd else None
+        self.sizes = [len(p) for p in self.pieces]
         self.aho = ahocorasick.Automaton()
-        for p in self.ids:
-            self.aho.add_word(p, len(p))
+        for p, i in self.ids.items():
+            self.aho.add_word(p, i)
         self.aho.make_automaton()
         self.surface = [p.replace(MARK, " ") for p in self.pieces]
         self.surface[self.unknown] = " ⁇ "
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.kept: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.digits = [str(i) for i in range(n)]
+        # the longest shorter piece that a piece begins with, or -1
+        self.shorter = [-1] * n
+        for p, i in self.ids.items():
+            self.shorter[i] = next((j for k in range(len(p) - 1, 0, -1) if (j := self.ids.get(p[:k], -1)) >= 0), -1)
+        self.ends: dict[int, list[tuple[str, float]]] = {}
+        self.fronts: dict[int, list[tuple[str, float]]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.runs = Runs(self._run)  # of runs with their marks
+        self.words = Runs(lambda word: self._run(MARK + word))  # of runs with one mark in front, which is left out
+        self.changed: dict[str, str] = {}  # runs that decode to another text
 
     def _merge(self, text: str) -> tuple[list[str], list[tuple[str, str]]]:
         """Step-by-step merging by highest score, leftmost first."""
@@ -106,70 +141,103 @@ class PieceModel:
             offer(i)
         return [p for p in part if p is not None], steps
 
-    def _holds(self, left: str, right: str) -> bool:
-        """Whether re-merging ``left + right`` gives these two pieces again."""
+    def _edges(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """What stands at one end of a piece while it is merged, from a character
+        up to the piece, each with the score of the merge that takes it up."""
+        if piece not in self.parts:
+            return [(piece, NEVER)]
+        inner = self._edges(self.parts[piece][side], side)
+        return [*inner[:-1], (inner[-1][0], self.score[piece]), (piece, NEVER)]
+
+    def _holds(self, left: int, right: int) -> bool:
+        """Whether re-merging two neighbours leaves the boundary between them.
+
+        What stands on both sides of the boundary is followed through the merges
+        of the two pieces, highest score first.  The boundary goes if a merge
+        over it comes before the next merge on either side; of equal scores the
+        leftmost comes first.
+        """
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = known = self._merge(left + right)[0] == [left, right]
+        ends, fronts = self.ends.get(left), self.fronts.get(right)
+        if ends is None:
+            ends = self.ends[left] = self._edges(self.pieces[left], 1)
+        if fronts is None:
+            fronts = self.fronts[right] = self._edges(self.pieces[right], 0)
+        score, i, j = self.score, 0, 0
+        while True:
+            (x, up), (y, down) = ends[i], fronts[j]
+            over = score.get(x + y)
+            if over is not None and over > up and over >= down:
+                known = False
+                break
+            if up == down == NEVER:
+                known = True
+                break
+            if up >= down:
+                i += 1
+            else:
+                j += 1
+        self.pairs[left << 32 | right] = known
         return known
 
-    def _backtrack(self, text: str) -> list[str]:
-        """Pieces of a run whose characters all occur in pieces."""
+    def _merged(self, text: str) -> list[int]:
+        return [i for p in self._merge(text)[0] for i in self._id(p)]
+
+    def _backtrack(self, text: str) -> list[int]:
+        """Ids of a run whose characters all occur in pieces.
+
+        The automaton gives the longest piece at a position; its shorter ones are
+        a chain.  A bit of ``failed`` stands for a position from which no pieces
+        that hold lead to the end.
+        """
         if self.odd and self.odd.search(text):
-            return self._merge(text)[0]
-        n = len(text)
-        starts: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.aho.iter(text):
-            starts[end - size + 1].append(size)
-        failed, pairs = 0, self.pairs
-        stack: list[tuple[int, int]] = []  # start of a piece, its place in starts[start]
-        at, k = 0, len(starts[0]) - 1
+            return self._merged(text)
+        pairs, sizes, shorter, longest = self.pairs, self.sizes, self.shorter, self.aho.iter_long
+        ahead = [i for _, i in longest(text)]
+        ahead.reverse()  # longest pieces from here on, as long as none was refused
+        out: list[int] = []
+        n, at, failed, last = len(text), 0, 0, -1
         while at < n:
-            while k >= 0:
-                size = starts[at][k]
-                if not failed >> (at + size) & 1:
-                    if not stack:
-                        break
-                    pair = (text[stack[-1][0] : at], text[at : at + size])
-                    if pairs[pair] if pair in pairs else self._holds(*pair):
-                        break
-                k -= 1
-            if k >= 0:
-                stack.append((at, k))
-                at += starts[at][k]
-                k = len(starts[at]) - 1 if at < n else -1
-            else:
-                if not stack:
-                    return self._merge(text)[0]
+            i = ahead.pop() if ahead else next(longest(text, at))[1]
+            while True:
+                while i >= 0:
+                    if not failed >> (at + sizes[i]) & 1:
+                        if last < 0:
+                            break
+                        known = pairs.get(last << 32 | i)
+                        if known or (known is None and self._holds(last, i)):
+                            break
+                    i = shorter[i]
+                    ahead.clear()
+                if i >= 0:
+                    break
+                if not out:
+                    return self._merged(text)
                 failed |= 1 << at
-                at, k = stack.pop()
-                k -= 1
-        return [text[p : p + starts[p][q]] for p, q in stack]
+                i = out.pop()
+                at -= sizes[i]
+                i = shorter[i]
+                last = out[-1] if out else -1
+            out.append(i)
+            at += sizes[i]
+            last = i
+        return out
 
-    def _run(self, run: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as text, and what they decode to."""
-        ids: list[int] = []
+    def _run(self, run: str) -> str:
+        """The ids of a run as text; keeps what they decode to if it isn't the run."""
         if self.chars.issuperset(run):
-            for p in self._backtrack(run):
-                i = self.ids.get(p)
-                ids.extend(self._id(p) if i is None else (i,))
-            return len(ids), ",".join(map(str, ids)), self._surface(ids)
-        known: list[str] = []
-
-        def flush() -> None:
-            if known:
-                for p in self._backtrack("".join(known)):
-                    ids.extend(self._id(p))
-                known.clear()
-
-        for c in run:
-            if c in self.chars:
-                known.append(c)
-            else:
-                flush()
-                ids.extend(self._id(c))
-        flush()
-        return len(ids), ",".join(map(str, ids)), self._surface(ids)
+            ids = self._backtrack(run)
+        else:
+            ids = []
+            for known, part in groupby(run, self.chars.__contains__):
+                part = "".join(part)
+                ids += self._backtrack(part) if known else [i for c in part for i in self._id(c)]
+        surface = self._surface(ids)
+        if surface != run.replace(MARK, " "):
+            self.changed[run] = surface
+        digits = self.digits
+        return ",".join([digits[i] for i in ids])
 
     def _id(self, piece: str) -> list[int]:
         if (i := self.ids.get(piece)) is not None:
@@ -195,30 +263,30 @@ class PieceModel:
                 out.append(self.surface[i])
         return "".join(out)
 
-    def runs(self, text: str) -> list[tuple[int, str, str]]:
-        """The parts of a text, encoded and decoded one by one."""
+    def coded(self, text: str) -> tuple[str, str]:
+        """The ids of a text, joined by commas, and what they decode to."""
         if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        parts = RUN.findall(marked) if self.cuts else [marked]
-        out = list(map(self.kept.get, parts))
-        if None in out:
-            for k, (run, got) in enumerate(zip(parts, out)):
-                if got is None:
-                    out[k] = self._kept_run(run)
-        return out
-
-    def _kept_run(self, run: str) -> tuple[int, str, str]:
-        """A run that isn't in the newer table: from the older one, or made."""
-        got = self.kept.get(run) or self.older.get(run) or self._run(run)
-        if len(run) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT_RUNS:
-                self.older, self.kept = self.kept, {}
-            self.kept[run] = got
-        return got
+            return "", ""
+        if len(self.changed) > KEPT_RUNS:
+            self.changed, self.runs, self.words = {}, Runs(self._run), Runs(self.words.make)
+        if self.cuts and "  " not in text and MARK not in text and text[0] != " " != text[-1]:
+            words = text.split(" ")
+            ids = ",".join(map(self.words.__getitem__, words))
+            if not self.changed:
+                return ids, text
+            parts = [MARK + w for w in words]
+        else:
+            marked = MARK + text.replace(" ", MARK)
+            parts = RUN.findall(marked) if self.cuts else [marked]
+            ids = ",".join(map(self.runs.__getitem__, parts))
+        if self.changed.keys().isdisjoint(parts):
+            surface = "".join(parts).replace(MARK, " ")
+        else:
+            surface = "".join([self.changed.get(p, p).replace(MARK, " ") for p in parts])
+        return ids, surface.removeprefix(" ")
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, s, _ in self.runs(text) for i in s.split(",")]
+        return [int(i) for i in self.coded(text)[0].split(",")] if text else []
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes: the mark that encoding puts in front goes."""
@@ -258,16 +326,15 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids
         for batch in batches:
             rows = []
             for t in batch:
-                counts, id_parts, surfaces = zip(*model.runs(t)) if t else ((), (), ())
-                joined = ",".join(id_parts)
-                surface = "".join(surfaces).removeprefix(" ")
-                row = [sum(counts), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(surface.encode()).hexdigest()]
+                joined, surface = model.coded(t)
+                n = joined.count(",") + 1 if joined else 0
+                row = [n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(surface.encode()).hexdigest()]
                 if with_ids:
                     row.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in new])
 
-    held = F.struct(coded(F.col(text)).alias("_coded"))
     names = [x.split()[0] for x in new]
-    out = docs.withColumn("_spm", held["_coded"])
-    return out.select(*[c for c in docs.columns if c not in names], *[F.col("_spm")[c].alias(c) for c in names])
+    own = unused(docs, "coded")
+    out = docs.withColumn(own, coded(F.col(text)))
+    return out.select(*[c for c in docs.columns if c not in names], *[F.col(own)[c].alias(c) for c in names])

@@ -105,21 +105,54 @@ def test_spaceless_lines_with_edits_at_the_front(spark):
     assert {r.doc_id: r.text for r in got.collect()} == dict(enumerate(words)) == brute_lines(docs)
 
 
-@pytest.mark.parametrize("chunk", [line_dedup.CHUNK, 17])
-def test_near_copies_around_one_frequent_passage(spark, chunk):
+def linked(spark, texts, **options):
+    """The root of each line that is linked, by place."""
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    links = line_dedup.similar_lines(line_dedup.signatures(lines), lines, **options)
+    return {r.node: r.root for r in connected_components(links).collect()}
+
+
+@pytest.mark.parametrize("small", [line_dedup.SMALL_BUCKET, 2])
+def test_near_copies_around_one_frequent_passage(spark, small):
     rng = random.Random(6)
     some = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
     passage = "x" + some(400)
     tails = [some(75) + "yz" for _ in range(100)]
-    docs = [(i, passage + t) for i, t in enumerate(tails)] + [(100 + i, passage + t[:40] + "#" + t[41:]) for i, t in enumerate(tails)]
-    table = spark.createDataFrame(docs, "doc_id long, text string")
-    lines = line_dedup.line_table(table, "doc_id", "text")
-    links = line_dedup.similar_lines(lines.select("k1", line_dedup.bands(F.col("line")).alias("bands")), lines, chunk=chunk)
-    roots = connected_components(links).collect()
-    assert len(roots) == 200 and len({r.root for r in roots}) == 100
-    if chunk == line_dedup.CHUNK:
+    texts = [passage + t for t in tails] + [passage + t[:40] + "#" + t[41:] for t in tails]
+    roots = linked(spark, texts, small=small)
+    assert len(roots) == 200 and len(set(roots.values())) == 100
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    if small == 2:
         left = {r.doc_id for r in line_dedup.dedup_lines(table).collect() if r.text}
-        assert left == set(range(100)) == {i for i, t in brute_lines(docs).items() if t}
+        assert left == set(range(100)) == {i for i, t in brute_lines(list(enumerate(texts))).items() if t}
+
+
+def test_recall_on_template_families(spark):
+    """Twins that differ in one word; lines of a family share most of their words."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    common = [word() for _ in range(14)]
+    texts = []
+    for _ in range(1000):
+        own = [word() for _ in range(4)]
+        texts += [" ".join(common + own), " ".join([*common, *own[:3], word()])]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    twins = [i for i in range(0, 2000, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    roots = linked(spark, texts)
+    found = sum(roots.get(i, -1) == roots.get(i + 1, -2) for i in twins)
+    assert len(twins) > 500 and found >= 0.95 * len(twins)
+
+
+def test_line_dedup_handles_clashes_and_ids(spark):
+    a, b = "The first of two sentences that somebody wrote down.", "Another line that has nothing to do with it at all."
+    rows = [(None, f"{a}\n{b}", 1, 2, 3), (None, f"{b}\n{a}\nMore.", 1, 2, 3), (7, a, 1, 2, 3), (7, a, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, _row int, _cut int")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str)
+    assert [g for g in got if g[0] == 7] == [(7, a, 1, 0)] * 2
+    left = [x for g in got if not g[0] for x in g[1].split("\n") if x]
+    assert sorted(left) == sorted([b, "More."])
 
 
 def test_components(spark):
