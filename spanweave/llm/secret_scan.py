@@ -2,10 +2,12 @@
 
 Fixed patterns give the base spans.  On top of them, two character Markov
 models, one of random strings and one of ordinary identifiers, are compared on
-every long run of key characters: the mean log-likelihood ratio per character
-decides.  Both are trained on labelled samples from the table itself: values
-that the base patterns found are the random strings, plain words and
-identifiers outside of them are the ordinary ones.
+every run of 12 or more key characters: the mean log-likelihood ratio per
+character decides.  Both are trained on labelled samples from the table itself:
+hex strings, access keys, and assigned values of 16 or more characters with a
+digit are labelled random, words and identifiers outside all base matches
+ordinary.  A quarter of the labelled strings is held out, and the threshold lies
+between the two labels' ratios there.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_materialized, materialize, unused
+
 #: Kinds in their order, with pattern, group and its least length.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -23,11 +27,13 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
-#: Runs that the models judge; a run of one letter case and nothing else is scored as well.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the models judge.
+CANDIDATE, CANDIDATE_CHARS = r"[A-Za-z0-9+/_=-]{12,}", 12
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_.-]{3,}"
-#: Mean log-likelihood ratio per character (nats) from which a run counts as random.
+#: Mean log-likelihood ratio per character (nats) from which a run counts as random, where no samples are held out.
 THRESHOLD = 0.6
+#: Shares of held-out random strings that may be missed, and of ordinary ones that may be found.
+MISSED, FALSE = 0.02, 0.001
 #: Documents from which ordinary identifiers are taken, in expectation, at most.
 TRAIN_DOCS = 20_000
 
@@ -73,28 +79,57 @@ def _conditional(counts: dict[str, int], flat: float) -> dict[str, float]:
     return {a + b: (counts.get(a + b, 0) + back * uni[b]) / (first.get(a, 0) + back) for a in "^" + ALPHABET for b in ALPHABET}
 
 
-def train(docs: DataFrame, text: str = "text", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> list[float]:
-    """Log-likelihood ratio of each character pair, random against ordinary.
+def samples(docs: DataFrame, text: str = "text", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """Distinct labelled strings: ``token, random, held_out``.
 
-    Random strings: the values of all base matches in the table.  Ordinary
-    identifiers: those outside base matches in a sample of ``train_docs``
-    documents in expectation, chosen by the hash of the key.  Without any
-    samples the ratio is near that of flat models, and nothing is found.
+    Random ones come from the whole table, ordinary ones from ``train_docs``
+    documents in expectation, chosen by the hash of key and text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    held = [F.filter(F.regexp_extract_all(t, F.lit(p), F.lit(g)), lambda v: F.length(v) >= 12) for _, p, g, _ in BASE]
+    (_, assign, group, _), *others = BASE
+    long = lambda v: (F.length(v) >= 16) & v.rlike("[0-9]")
+    held = [F.filter(F.regexp_extract_all(t, F.lit(assign), F.lit(group)), long)]
+    held += [F.filter(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda v, n=n: F.length(v) >= n) for _, p, _, n in others]
     hit = F.array(*[t.rlike(p) for _, p, _, _ in BASE])
-    random = docs.where(F.array_contains(hit, True)).select(F.explode(F.concat(*held)).alias("token")).where(F.col("token").rlike(r"^[A-Za-z0-9+/_=.-]+$"))
-    n = max(docs.count(), 1)
-    share = min(1.0, train_docs / n)
+    found = docs.where(F.array_contains(hit, True)).select(F.explode(F.concat(*held)).alias("token"), F.lit(True).alias("random"))
     clean = t
     for _, p, _, _ in BASE:
         clean = F.regexp_replace(clean, p, " ")
-    chosen = docs.where(F.pmod(F.xxhash64(key, F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    plain = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit(IDENTIFIER), F.lit(0))).alias("token"))
-    p = _conditional(_bigrams(random), 2.0)
-    q = _conditional(_bigrams(plain), 0.5)
-    return [log(p[a + b] / q[a + b]) for a in "^" + ALPHABET for b in ALPHABET]
+    share = min(1.0, train_docs / max(docs.count(), 1))
+    chosen = docs.where(F.pmod(F.xxhash64(key, text, F.lit("train")), F.lit(1 << 52)) < F.lit(share) * F.lit(float(1 << 52)))
+    plain = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(False).alias("random"))
+    held_out = F.pmod(F.xxhash64("token"), F.lit(4)) == 0
+    return materialize(found.union(plain).distinct().withColumn("held_out", held_out))
+
+
+def train(docs: DataFrame, text: str = "text", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> tuple[list[float], float]:
+    """Log-likelihood ratio of each character pair, random against ordinary, and the threshold.
+
+    Without any samples the ratio is that of flat models, and nothing is found.
+    """
+    known = samples(docs, text, key, train_docs)
+    p = _conditional(_bigrams(known.where("random and not held_out")), 2.0)
+    q = _conditional(_bigrams(known.where("not random and not held_out")), 0.5)
+    ratios = [log(p[a + b] / q[a + b]) for a in "^" + ALPHABET for b in ALPHABET]
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
+    judged = known.where(F.col("held_out") & F.col("token").rlike(f"^{CANDIDATE}$"))
+    steps = judged.groupBy("random", F.floor(_mean_ratio(F.col("token"), table) * 100).alias("step")).count()
+    rows = sorted(map(tuple, steps.collect()))  # hundredths of a nat: a bounded number of rows
+    drop_materialized(known)
+    low = _quantile([(s, n) for r, s, n in rows if r], MISSED)
+    high = _quantile([(s + 1, n) for r, s, n in rows if not r], 1 - FALSE)
+    if low is None or high is None:
+        return ratios, THRESHOLD
+    return ratios, max(high, (low + high) / 2)
+
+
+def _quantile(steps: list[tuple[int, int]], share: float) -> float | None:
+    left = share * sum(n for _, n in steps)
+    for step, n in steps:
+        left -= n
+        if left <= 0:
+            return step / 100
+    return None
 
 
 def _mean_ratio(run: Column, table: Column) -> Column:
@@ -110,25 +145,28 @@ def _mean_ratio(run: Column, table: Column) -> Column:
     return total / F.length(run)
 
 
-def scan(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Add ``base`` and ``all_spans``, arrays of (start, kind, end, score).
+def scan(docs: DataFrame, model: tuple[list[float], float], text: str = "text") -> DataFrame:
+    """Add ``base`` and ``all_spans``, arrays of (start, kind, end).
 
-    Kinds are places in :data:`BASE`; 3 stands for the models.  Spans that the
-    models add overlap no base span.  A null or empty text has no spans.  All
-    columns of ``docs`` stay, except those two names.  No row leaves its
-    partition.
+    ``model`` is what :func:`train` gives: ratios and threshold.  Kinds are
+    places in :data:`BASE`; 3 stands for the models.  Spans that the models add
+    overlap no base span.  A null or empty text has no spans.  All columns of
+    ``docs`` stay, except those two names; null and repeated ids are rows like
+    any other.  No row leaves its partition.
     """
+    ratios, threshold = model
     t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.drop(*[c for c in ("base", "all_spans") if c != text])
     base = F.array_sort(F.concat(*[_spans(t, k, p, g, n) for k, (_, p, g, n) in enumerate(BASE)]))
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     runs = F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))
-    found = _spans(t, len(BASE), CANDIDATE, 0, 20)
-    held = docs.withColumn("base", base).withColumn("_runs", F.when(t.rlike(CANDIDATE), F.arrays_zip(found.alias("span"), runs.alias("run"))))
+    found = _spans(t, len(BASE), CANDIDATE, 0, CANDIDATE_CHARS)
+    own = unused(docs, "runs")
+    held = docs.withColumn("base", base).withColumn(own, F.when(t.rlike(CANDIDATE), F.arrays_zip(found.alias("span"), runs.alias("run"))))
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter("_runs", lambda r: clear(r["span"]) & (_mean_ratio(r["run"], table) > threshold))
+    more = F.filter(own, lambda r: clear(r["span"]) & (_mean_ratio(r["run"], table) > threshold))
     added = F.transform(more, lambda r: r["span"])
-    return held.withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))).drop("_runs")
+    return held.withColumn("all_spans", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))).drop(own)
 
 
 def span_text(spans: Column, kinds: tuple[str, ...] = (*[b[0] for b in BASE], "random")) -> Column:

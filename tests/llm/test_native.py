@@ -270,13 +270,21 @@ def test_secret_base_spans(spark):
 
 
 def test_models_tell_random_from_ordinary(spark):
-    import random
-
-    random.seed(5)
+    """Held-out random strings of several kinds are found, invented words and identifiers are left alone."""
+    rng = random.Random(5)
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    ratios = secret_scan.train(known)
-    hidden = ["".join(random.choice("0123456789abcdef") for _ in range(10)) + "Z" + "".join(random.choice("0123456789abcdefABCDEF") for _ in range(20)) for _ in range(40)]
-    plain = ["the_responsible_minister_of_state", "internationalisation", "thentionableingthatofwith", "erinthesonableoutherin"] * 10
-    found = secret_scan.scan(frame(spark, hidden + plain), ratios).select("doc_id", F.size("all_spans").alias("n")).collect()
-    hit = {r.doc_id for r in found if r.n}
-    assert len(hit & set(range(40))) >= 36 and len(hit & set(range(40, 80))) <= 2
+    model = secret_scan.train(known)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in [*range(14, 24)] * 10]
+    plain = ["the_responsible_minister_of_state", "internationalisation", "thentionableingthatofwith", "erinthesonableoutherin", "getElementById_and_more", "WITHEREABLEING"] * 10
+    docs = frame(spark, [f"see {h} for more" for h in hexes] + plain).withColumn("_runs", F.lit(1))
+    found = secret_scan.scan(docs, model).select("doc_id", "_runs", "all_spans").collect()
+    hit = {r.doc_id for r in found if r.all_spans}
+    assert len(hit & set(range(100))) >= 90 and not hit & set(range(100, 200))
+    assert all((s.start, s.end) == (4, 4 + len(hexes[r.doc_id])) for r in found if r.doc_id in hit for s in r.all_spans)
+
+
+def test_models_add_spans_on_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = secret_scan.scan(docs, secret_scan.train(docs))
+    more = out.select("text", F.explode("all_spans").alias("s")).where(f"s.kind = {len(secret_scan.BASE)}").collect()
+    assert more and all(re.search("[0-9]", r.text[r.s.start : r.s.end]) for r in more)
