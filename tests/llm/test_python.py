@@ -24,6 +24,20 @@ def test_page_zones():
     assert html_extract.page_blocks("a < b &am c <b")[0][1] == "a < b &am c <b"
 
 
+def test_article_names_and_unclosed_elements():
+    text = lambda p: [t for z, t in html_extract.page_blocks(p) if z == "m"]
+    assert text('<article><div class="post-header"><h1>Title</h1></div><p class="related work">Body</p></article>') == ["Title", "Body"]
+    assert text("<article><p>One <button>Go<p>Two <noscript>three</article>") == ["One Go", "Two three"]
+    assert text('<article><p>One</p><div class="related"><p>Other</p></div><p>Two</p><script>x</article>') == ["One", "Two"]
+
+
+def test_page_ids_survive(spark):
+    big = 2**53 + 1
+    rows = [(None, "http://h/1", "<p>a b</p>"), (big, "http://h/2", "<p>c d</p>"), (big, "http://h/2", "<p>c d</p>"), (3, "http://h/3", "<p>" + "word " * 50_000 + "</p>")]
+    got = sorted(((r.page_id or 0, r.n_chars) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()))
+    assert got == [(0, 3), (3, 249_999), (big, 3), (big, 3)]
+
+
 def brute_support(pages, length):
     where = {}
     for k, p in enumerate(pages):
