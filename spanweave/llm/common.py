@@ -50,6 +50,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be broadcast (some tens of MB); beyond, joins shuffle.
+MOST_ROWS = 1_000_000
+
+
+def sized(table: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast in a join if it was counted to be small."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` wrote."""
     spark = df.sparkSession

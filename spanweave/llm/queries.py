@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, line_dedup, lm_score, mixing, quality, reshard, secret_scan, simhash, spm, topk
+from .common import MOST_ROWS, materialize, sized
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +68,12 @@ def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good; the background is every document."""
-    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = materialize(table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", lm_score.fold_of("doc_id").alias("fold"))
-    marked = docs.join(good.withColumn("is_target", F.lit(True)), "doc_id", "left")
-    return lm_score.score(docs, lm_score.fit(marked)).drop("text", "fold")
+    few = good.count() <= MOST_ROWS
+    marked = docs.join(sized(good).withColumn("is_target", F.lit(True)), "doc_id", "left")
+    model = lm_score.fit(marked if few else materialize(marked))  # a join that shuffles the texts runs once
+    return lm_score.score(docs, model).drop("text", "fold")
 
 
 def op8_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
