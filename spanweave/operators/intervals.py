@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import BIN, before
+from .running import BIN, JOIN_BIN, before
 
 
 def islands(df: DataFrame, keys: Sequence[str], left: str = "left", right: str = "right", join: int = 5, bin_size: int = BIN) -> DataFrame:
@@ -51,7 +51,7 @@ def covered_stretches(df: DataFrame, keys: Sequence[str], least: int = 1, join:
     return islands(deep, keys, "start", "end", join - 2, bin_size).select(*keys, "start", "end")
 
 
-def cut_at(exons: DataFrame, cuts: DataFrame, keys: Sequence[str], bin_size: int = BIN) -> DataFrame:
+def cut_at(exons: DataFrame, cuts: DataFrame, keys: Sequence[str], bin_size: int = JOIN_BIN) -> DataFrame:
     """Cut intervals at positions: ``keys, start, end`` pieces.
 
     ``cuts`` has ``pos``, the first base behind a cut.  The pieces of an
@@ -68,7 +68,7 @@ def cut_at(exons: DataFrame, cuts: DataFrame, keys: Sequence[str], bin_size: int
 
 
 def overlap_join(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], a_cols: tuple[str, str], b_cols: tuple[str, str], bin_size: int = BIN
+    a: DataFrame, b: DataFrame, keys: Sequence[str], a_cols: tuple[str, str], b_cols: tuple[str, str], bin_size: int = JOIN_BIN
 ) -> DataFrame:
     """All pairs of rows whose closed intervals share a position.
 

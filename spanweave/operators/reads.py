@@ -16,12 +16,13 @@ KEYS = ["chrom", "strand"]
 
 def usable(records: DataFrame, max_intron: int = 1_000_000, min_inner: int = 3, min_mapq: int = 1) -> DataFrame:
     """Mapped primary records without an over-long skip or a tiny inner match."""
-    ops = A.cigar_ops(F.col("cigar"))
+    ops = F.col("_ops")
     n = F.size(ops)
     long_skip = F.exists(ops, lambda o: (o["op"] == "N") & (o["n"] > max_intron))
     inner = F.filter(ops, lambda o, i: (i > 0) & (i < n - 1) & (o["op"] == "M") & (o["n"] < min_inner))
     flags = F.col("flag").bitwiseAND(F.lit(A.SECONDARY | A.UNMAPPED)) == 0
-    return records.where(flags & (F.col("mapq") >= min_mapq) & ~long_skip & (F.size(inner) == 0))
+    mapped = records.where(flags & (F.col("mapq") >= min_mapq)).select("*", F.explode(F.array(A.cigar_ops(F.col("cigar")))).alias("_ops"))
+    return mapped.where(~long_skip & (F.size(inner) == 0)).drop("_ops")
 
 
 def stranded(records: DataFrame, library: str = "fr-firststrand") -> DataFrame:
@@ -32,7 +33,8 @@ def stranded(records: DataFrame, library: str = "fr-firststrand") -> DataFrame:
 
 def with_segments(records: DataFrame, min_intron: int = 5) -> DataFrame:
     """Add ``segments``; records that align nowhere go."""
-    out = records.withColumn("segments", A.segments(F.col("cigar"), F.col("pos"), min_intron))
+    # a generated column: the filter and later steps use it without folding the CIGAR again
+    out = records.select("*", F.explode(F.array(A.segments(F.col("cigar"), F.col("pos"), min_intron))).alias("segments"))
     return out.where(F.size("segments") > 0)
 
 

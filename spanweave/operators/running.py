@@ -12,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 BIN = 1 << 16
+#: Bins of interval joins: near the intervals' lengths, so that few that don't meet share one.
+JOIN_BIN = 1 << 11
 
 
 def before(df: DataFrame, keys: Sequence[str], pos: str, order: Sequence, values: dict[str, tuple[str, Column]], bin_size: int = BIN) -> DataFrame:
@@ -20,9 +24,10 @@ def before(df: DataFrame, keys: Sequence[str], pos: str, order: Sequence, values
 
     ``values`` maps a new column to ("max" or "sum", expression).  ``order``
     sorts rows and must begin with ``pos``.  Nothing before a row gives null for
-    a maximum and 0 for a sum.
+    a maximum and 0 for a sum.  The rows are written once, as they are read twice:
+    for the bins' aggregates and for the windows.
     """
-    binned = df.withColumn("_bin", F.floor(F.col(pos) / bin_size))
+    binned = written(df.withColumn("_bin", F.floor(F.col(pos) / bin_size)))
     fold = {"max": F.max, "sum": F.sum}
     per_bin = binned.groupBy(*keys, "_bin").agg(*[fold[how](x).alias(f"_c_{n}") for n, (how, x) in values.items()])
     line = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)

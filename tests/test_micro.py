@@ -128,3 +128,32 @@ def test_sam_and_gtf(spark, tmp_path):
     assert t["a"].gene_id is None and t["b"].start == 5
     lines = text.gtf_lines(text.guide_transcripts(text.read_gtf(spark, str(gtf))).withColumns({"fpkm": F.lit(1.0), "cov": F.lit(2.0)}))
     assert lines.count() == 7
+
+
+def brute_components(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def test_components_of_whole_tables(spark, tmp_path):
+    import random
+
+    from spanweave import registry
+
+    run = registry.queries()["components"]
+    rows = [(r.l_suppkey, 10**12 + r.l_partkey) for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").collect()]
+    assert {r.node: r.component for r in run(spark, "/root/testdata/sf0.001").collect()} == brute_components(rows)
+    rng = random.Random(3)
+    few = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(None, 4), (5, None)]
+    spark.createDataFrame(few, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = brute_components((a, 10**12 + b) for a, b in few if a is not None and b is not None)
+    assert {r.node: r.component for r in run(spark, str(tmp_path)).collect()} == want and len(set(want.values())) > 5
