@@ -132,3 +132,41 @@ def unary_arcs(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
     out = own.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("_o")).where("_o = 1")
     into = own.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("_i")).where("_i = 1")
     return own.join(out, [*keys, "a"], "left_semi").join(into, [*keys, "b"], "left_semi").select(*keys, "a", "b")
+
+
+def reduced_containment(held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The pairs ``inner, outer`` between which no third set stands."""
+    step = held.select(*keys, F.col("inner").alias("outer"), F.col("outer").alias("_far"))
+    through = held.join(step, [*keys, "outer"]).select(*keys, "inner", F.col("_far").alias("outer")).distinct()
+    return held.join(through, [*keys, "inner", "outer"], "left_anti").select(*keys, "inner", "outer")
+
+
+def split_bins(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``exon_ids, exon_id, left, right``: each set up to and from each inner exon, which both sides hold."""
+    inner = F.slice("exon_ids", 2, F.size("exon_ids") - 2)
+    cut = bins.where(F.size("exon_ids") > 2).select(*keys, "exon_ids", F.explode(inner).alias("exon_id"))
+    sides = (F.filter("exon_ids", lambda x: x <= F.col("exon_id")), F.filter("exon_ids", lambda x: x >= F.col("exon_id")))
+    return cut.select(*keys, "exon_ids", "exon_id", sides[0].alias("left"), sides[1].alias("right"))
+
+
+def guided_arcs(arcs: DataFrame, keys: Sequence[str], sample: int) -> DataFrame:
+    """Arcs (rows of all samples) that have a count in ``sample``."""
+    own = arcs.where((F.col("sample_id") == sample) & (F.col("n") > 0)).select(*keys, "a", "b").distinct()
+    return arcs.join(own, [*keys, "a", "b"], "left_semi")
+
+
+def neighbour_capacities(arcs: DataFrame, means: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``capacity`` of arcs between exons that adjoin.
+
+    ``arcs`` has ``a, b, a_end, sample_id, n``, ``means`` has ``start, sample_id,
+    mean``.  An arc takes of each exon's coverage the share that it has of that
+    exon's arcs on this side, and never more than its own count.
+    """
+    by = [*keys, "sample_id"]
+    outs = arcs.groupBy(*by, "a").agg(F.sum("n").alias("_out"))
+    ins = arcs.groupBy(*by, "b").agg(F.sum("n").alias("_in"))
+    at = lambda c: means.select(*by, F.col("start").alias(c), F.col("mean").alias(f"_{c}"))
+    near = arcs.where(F.col("a_end") + 1 == F.col("b")).join(outs, [*by, "a"]).join(ins, [*by, "b"])
+    near = near.join(at("a"), [*by, "a"]).join(at("b"), [*by, "b"])
+    share = F.least(F.col("_a") * F.col("n") / F.col("_out"), F.col("_b") * F.col("n") / F.col("_in"), F.col("n").cast("double"))
+    return near.select(*by, "a", "b", "n", share.alias("capacity"))

@@ -67,3 +67,14 @@ def without_unproven(segs: DataFrame, valid: DataFrame) -> DataFrame:
     gaps = segs.withColumn("jl", F.col("right") + 1).withColumn("jr", F.lead("left").over(w) - 1).where("jr is not null")
     bad = gaps.join(valid.select(*KEYS, "jl", "jr"), [*KEYS, "jl", "jr"], "left_anti").select("read_id").distinct()
     return segs.join(bad, "read_id", "left_anti")
+
+
+def mate_unions(pairs: DataFrame, atom_reads: DataFrame) -> DataFrame:
+    """Add ``exon_ids``, what both mates touch together, and ``disjoint``, whether they share none.
+
+    ``atom_reads`` has ``read_id, exon_ids``; pairs with a mate off all exons are left out.
+    """
+    own = atom_reads.select("read_id", F.col("exon_ids").alias("_x"))
+    mate = atom_reads.select(F.col("read_id").alias("mate_read_id"), F.col("exon_ids").alias("_y"))
+    met = pairs.join(own, "read_id").join(mate, "mate_read_id")
+    return met.withColumn("exon_ids", F.array_sort(F.array_union("_x", "_y"))).withColumn("disjoint", ~F.arrays_overlap("_x", "_y")).drop("_x", "_y")

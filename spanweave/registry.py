@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import graph_queries  # noqa: F401  registers its queries
 from .plans.queries import ORACLE, QUERIES, exon_coverage
 
 
