@@ -170,3 +170,54 @@ def neighbour_capacities(arcs: DataFrame, means: DataFrame, keys: Sequence[str])
     near = near.join(at("a"), [*by, "a"]).join(at("b"), [*by, "b"])
     share = F.least(F.col("_a") * F.col("n") / F.col("_out"), F.col("_b") * F.col("n") / F.col("_in"), F.col("n").cast("double"))
     return near.select(*by, "a", "b", "n", share.alias("capacity"))
+
+
+def _degrees(arcs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, a, b, a_end`` of every arc with its start's out-degree and its end's in-degree."""
+    own = written(arcs.select(*keys, "a", "b", "a_end").distinct())
+    n_out = own.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n_out"))
+    n_in = own.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n_in"))
+    return own.join(n_out, [*keys, "a"]).join(n_in, [*keys, "b"])
+
+
+def _each_sample(rows: DataFrame, samples: Sequence[int]) -> DataFrame:
+    return rows.withColumn("sample_id", F.explode(F.array(*map(F.lit, samples))))
+
+
+def low_boundaries(arcs: DataFrame, means: DataFrame, keys: Sequence[str], samples: Sequence[int], high_percent: int = 60) -> DataFrame:
+    """Junctions that are the only way on from an exon, or into one, with coverage of 10 w^2 + 10 there.
+
+    ``w`` is the arc's count, 0 where a sample has none.  ``to_drain`` and
+    ``to_source`` tell which of its exons is left without a way.
+    """
+    by = [*keys, "sample_id"]
+    each = _each_sample(_degrees(arcs, keys).where(F.col("a_end") + 1 != F.col("b")), samples)
+    at = lambda c: means.select(*by, F.col("start").alias(c), F.col("mean").alias(f"_{c}"))
+    seen = each.join(arcs.select(*by, "a", "b", "n"), [*by, "a", "b"], "left").join(at("a"), [*by, "a"], "left").join(at("b"), [*by, "b"], "left")
+    w = F.coalesce("n", F.lit(0))
+    hit = ((F.col("n_out") == 1) & (F.col("_a") >= 10 * w * w + 10)) | ((F.col("n_in") == 1) & (F.col("_b") >= 10 * w * w + 10))
+    votes = seen.groupBy(*keys, "a", "b", "n_out", "n_in").agg(F.sum(F.when(hit, 1).otherwise(0)).alias("votes"))
+    out = votes.where(F.floor(F.col("votes") * 100 / len(samples)) >= high_percent)
+    return out.select(*keys, "a", "b", "votes", (F.col("n_out") == 1).alias("to_drain"), (F.col("n_in") == 1).alias("to_source"))
+
+
+def retained_introns(
+    means: DataFrame, arcs: DataFrame, nodes: DataFrame, keys: Sequence[str], samples: Sequence[int], low_percent: int = 30
+) -> DataFrame:
+    """Exons ``m`` that adjoin ``a`` and ``b``, their only neighbours, where a direct arc from ``a`` to ``b`` is stronger.
+
+    A sample votes for removal if it has no reads in ``m``, or has the direct arc
+    and ``m`` has under 45 reads and 30 % of its coverage, or 2 reads at most.
+    """
+    by = [*keys, "sample_id"]
+    own = written(_degrees(arcs, keys).where(F.col("a_end") + 1 == F.col("b")))
+    into = own.where("n_in = 1").select(*keys, "a", F.col("b").alias("m"))
+    on = own.where("n_out = 1").select(*keys, F.col("a").alias("m"), "b")
+    middle = into.join(on, [*keys, "m"]).join(arcs.select(*keys, "a", "b").distinct(), [*keys, "a", "b"], "left_semi")
+    each = _each_sample(middle, samples).join(arcs.select(*by, "a", "b", F.col("n").alias("_direct")), [*by, "a", "b"], "left")
+    each = each.join(nodes.select(*by, F.col("exon_id").alias("m"), "n"), [*by, "m"], "left")
+    each = each.join(means.select(*by, F.col("start").alias("m"), "mean"), [*by, "m"], "left")
+    thin = ((F.col("n") < 45) & (F.col("mean") * 100 / F.col("_direct") < 30)) | (F.col("n") <= 2)
+    hit = F.col("n").isNull() | (F.col("_direct").isNotNull() & thin)
+    votes = each.groupBy(*keys, "a", "m", "b").agg(F.sum(F.when(hit, 1).otherwise(0)).alias("votes"))
+    return votes.where(F.floor(F.col("votes") * 100 / len(samples)) >= low_percent)

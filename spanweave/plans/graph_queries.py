@@ -18,8 +18,8 @@ MEANS = """
 """
 
 
-def _coverage_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Mean coverage of exons per sample, and arcs with their reads and ``a_end``."""
+def _coverage_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mean coverage of exons per sample, arcs with their reads and ``a_end``, and the reads of exons."""
     parts, segs = _pieces(spark, d)
     hit = overlap_join(segs, parts, KEYS, ("left", "right"), ("start", "end"))
     bases = F.sum(F.least("right", "end") - F.greatest("left", "start") + 1)
@@ -27,9 +27,9 @@ def _coverage_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     means = written(means.select(*KEYS, "start", "end", "sample_id", (F.col("bases") / (F.col("end") - F.col("start") + 1)).alias("mean")))
     atoms = pairs.atoms(segs, parts.withColumn("exon_id", F.col("start")))
     counts = atoms.groupBy(*KEYS, "exon_ids", "sample_id").agg(F.count(F.lit(1)).alias("n"))
-    _, arcs = graph.splice_graph(written(counts), KEYS)
+    nodes, arcs = graph.splice_graph(written(counts), KEYS)
     ends = parts.select(*KEYS, F.col("start").alias("a"), F.col("end").alias("a_end"))
-    return means, written(arcs.join(ends, [*KEYS, "a"]))
+    return means, written(arcs.join(ends, [*KEYS, "a"])), nodes
 
 
 def _spread(samples) -> str:
@@ -44,7 +44,7 @@ select chrom, kind, strand, start, "end", {_spread(SAMPLES)} from (
 group by chrom, kind, strand, start, "end" """))
 def exon_count_rows(spark, d):
     """A row for each exon (mean coverage) and each splice (reads), a column for each sample."""
-    means, arcs = _coverage_graph(spark, d)
+    means, arcs, _ = _coverage_graph(spark, d)
     exons = means.select("chrom", F.lit("Exon").alias("kind"), "strand", "start", "end", "sample_id", F.col("mean").alias("value"))
     splices = arcs.select("chrom", F.lit("Splice").alias("kind"), "strand", F.col("a_end").alias("start"), F.col("b").alias("end"), "sample_id", F.col("n").cast("double").alias("value"))
     by = ["chrom", "kind", "strand", "start", "end"]
@@ -63,7 +63,7 @@ from arcs r join means x on x.chrom = r.chrom and x.strand = r.strand and x.star
   join ins i on i.chrom = r.chrom and i.strand = r.strand and i.b = r.b and i.sample_id = r.sample_id"""))
 def neighbour_scaling(spark, d):
     """Arcs between adjoining exons, held to their share of both exons' coverage."""
-    means, arcs = _coverage_graph(spark, d)
+    means, arcs, _ = _coverage_graph(spark, d)
     scaled = graph.neighbour_capacities(arcs, means, KEYS)
     return scaled.select(*KEYS, "a", "b", "sample_id", "n", F.round("capacity", 6).alias("capacity"))
 
@@ -92,7 +92,7 @@ def bin_splits(spark, d):
 @query(aligned(STEPS + "select * from arcs r where exists (select 1 from arcs g where g.chrom = r.chrom and g.strand = r.strand and g.a = r.a and g.b = r.b and g.sample_id = 0)"))
 def guiding_sample_arcs(spark, d):
     """Arcs that carry reads of the guiding sample, with the counts of all samples."""
-    arcs = _coverage_graph(spark, d)[1]
+    _, arcs, _ = _coverage_graph(spark, d)
     return graph.guided_arcs(arcs, KEYS, SAMPLES[0]).select(*KEYS, "a", "b", "sample_id", "n")
 
 
@@ -111,3 +111,43 @@ def mate_exon_sets(spark, d):
     atoms = written(pairs.atoms(segs, parts.withColumn("exon_id", F.col("start"))).select("read_id", "exon_ids"))
     out = pairs.mate_unions(_pairs(spark, d), atoms)
     return out.select("qname", "sample_id", *KEYS, "read_id", "mate_read_id", _joined("exon_ids"), "disjoint")
+
+
+DEGREES = STEPS + MEANS + """
+, own as (select distinct r.chrom, r.strand, r.a, r.b, p."end" as a_end from arcs r join parts p on p.chrom = r.chrom and p.strand = r.strand and p.start = r.a),
+degrees as (select *, count(*) over (partition by chrom, strand, a) as n_out, count(*) over (partition by chrom, strand, b) as n_in from own),
+each as (select g.*, s.sample_id from degrees g cross join (select unnest([0, 1, 2]) as sample_id) s)
+"""
+
+
+@query(aligned(DEGREES + """
+select chrom, strand, a, b, votes, n_out = 1 as to_drain, n_in = 1 as to_source from (
+  select e.chrom, e.strand, e.a, e.b, e.n_out, e.n_in, cast(sum(case when
+      (e.n_out = 1 and coalesce(x.mean, 0) >= 10 * coalesce(r.n, 0) * coalesce(r.n, 0) + 10) or
+      (e.n_in = 1 and coalesce(y.mean, 0) >= 10 * coalesce(r.n, 0) * coalesce(r.n, 0) + 10) then 1 else 0 end) as bigint) as votes
+  from each e left join arcs r on r.chrom = e.chrom and r.strand = e.strand and r.a = e.a and r.b = e.b and r.sample_id = e.sample_id
+    left join means x on x.chrom = e.chrom and x.strand = e.strand and x.start = e.a and x.sample_id = e.sample_id
+    left join means y on y.chrom = e.chrom and y.strand = e.strand and y.start = e.b and y.sample_id = e.sample_id
+  where e.a_end + 1 <> e.b group by all) where votes * 100 // 3 >= 60"""))
+def prune_low_boundary(spark, d):
+    """Lone junctions beside far deeper exons, by a high vote."""
+    means, arcs, _ = _coverage_graph(spark, d)
+    return graph.low_boundaries(arcs, means, KEYS, SAMPLES)
+
+
+@query(aligned(DEGREES + """
+, middle as (select x.chrom, x.strand, x.a, x.b as m, y.b from degrees x join degrees y on y.chrom = x.chrom and y.strand = x.strand and y.a = x.b
+  where x.a_end + 1 = x.b and y.a_end + 1 = y.b and x.n_in = 1 and y.n_out = 1),
+votes as (
+  select i.chrom, i.strand, i.a, i.m, i.b, cast(sum(case when v.n is null then 1
+      when r.n is not null and ((v.n < 45 and e.mean * 100 / r.n < 30) or v.n <= 2) then 1 else 0 end) as bigint) as votes
+  from middle i join own o on o.chrom = i.chrom and o.strand = i.strand and o.a = i.a and o.b = i.b
+    cross join (select unnest([0, 1, 2]) as sample_id) s
+    left join arcs r on r.chrom = i.chrom and r.strand = i.strand and r.a = i.a and r.b = i.b and r.sample_id = s.sample_id
+    left join nodes v on v.chrom = i.chrom and v.strand = i.strand and v.exon_id = i.m and v.sample_id = s.sample_id
+    left join means e on e.chrom = i.chrom and e.strand = i.strand and e.start = i.m and e.sample_id = s.sample_id
+  group by all)
+select * from votes where votes * 100 // 3 >= 30"""))
+def prune_retained_intron(spark, d):
+    """Exons that fill the gap of a direct splice and are thin beside it, by a low vote."""
+    return graph.retained_introns(*_coverage_graph(spark, d), KEYS, SAMPLES)
