@@ -157,3 +157,56 @@ def test_components_of_whole_tables(spark, tmp_path):
     spark.createDataFrame(few, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     want = brute_components((a, 10**12 + b) for a, b in few if a is not None and b is not None)
     assert {r.node: r.component for r in run(spark, str(tmp_path)).collect()} == want and len(set(want.values())) > 5
+
+
+def test_low_boundaries_by_votes(spark):
+    """10 -> 20 is the only way on from a deep exon; 30 -> 50 has a second way and a shallow end."""
+    arcs = spark.createDataFrame(
+        [("c", 10, 20, 15, 0, 1), ("c", 10, 20, 15, 1, 1), ("c", 30, 50, 39, 0, 1), ("c", 30, 70, 39, 0, 5), ("c", 60, 70, 65, 0, 5)],
+        "chrom string, a long, b long, a_end long, sample_id int, n long",
+    )
+    means = spark.createDataFrame(
+        [("c", 10, 0, 20.0), ("c", 10, 1, 19.9), ("c", 10, 2, 10.0), ("c", 20, 0, 1.0), ("c", 30, 0, 500.0), ("c", 50, 0, 19.0)],
+        "chrom string, start long, sample_id int, mean double",
+    )
+    # sample 0 votes by 20 >= 10 * 1 + 10, sample 1 doesn't by 19.9, sample 2 has no reads and 10 >= 10: 66 %
+    got = graph.low_boundaries(arcs, means, ["chrom"], (0, 1, 2)).collect()
+    assert [tuple(r) for r in got] == [("c", 10, 20, 2, True, True)]
+
+
+def test_small_junctions_by_votes(spark):
+    arcs = spark.createDataFrame([("c", 1, 2, 0, 1), ("c", 1, 2, 1, 1), ("c", 1, 2, 2, 2), ("c", 2, 3, 0, 1)], "chrom string, a long, b long, sample_id int, n long")
+    rows = [("c", e, s, n) for e, n in ((1, 20), (2, 20), (3, 19)) for s in (0, 1, 2)]
+    nodes = spark.createDataFrame(rows, "chrom string, exon_id long, sample_id int, n long")
+    # 2 * 1 + 18 = 20 in two samples; 2 * 4 + 18 = 26 isn't reached in the third
+    got = graph.small_junctions(arcs, nodes, ["chrom"], 3).collect()
+    assert [tuple(r) for r in got] == [("c", 1, 2, 2)]
+
+
+def test_retained_introns_by_votes(spark):
+    arcs = spark.createDataFrame(
+        [("c", 10, 20, 19, 0, 3), ("c", 20, 30, 29, 0, 3), ("c", 10, 30, 19, 0, 40)],
+        "chrom string, a long, b long, a_end long, sample_id int, n long",
+    )
+    means = spark.createDataFrame([("c", 20, 0, 11.9)], "chrom string, start long, sample_id int, mean double")
+    nodes = spark.createDataFrame([("c", 20, 0, 44)], "chrom string, exon_id long, sample_id int, n long")
+    got = graph.retained_introns(means, arcs, nodes, ["chrom"], (0,)).collect()
+    assert [tuple(r) for r in got] == [("c", 10, 20, 30, 1)]
+    thick = nodes.withColumn("n", F.lit(45).cast("long"))
+    assert graph.retained_introns(means, arcs, thick, ["chrom"], (0,)).count() == 0
+
+
+def test_neighbour_capacities(spark):
+    arcs = spark.createDataFrame([("c", 10, 20, 19, 0, 6), ("c", 10, 40, 19, 0, 2), ("c", 15, 20, 18, 0, 2)], "chrom string, a long, b long, a_end long, sample_id int, n long")
+    means = spark.createDataFrame([("c", 10, 0, 4.0), ("c", 20, 0, 6.0)], "chrom string, start long, sample_id int, mean double")
+    # of 10's coverage 4 * 6 / 8, of 20's 6 * 6 / 8
+    got = graph.neighbour_capacities(arcs, means, ["chrom"]).collect()
+    assert [(r.a, r.b, r.capacity) for r in got] == [(10, 20, 3.0)]
+
+
+def test_reduced_containment_and_splits(spark):
+    held = spark.createDataFrame([("c", [1], [1, 2]), ("c", [1], [1, 2, 3]), ("c", [1, 2], [1, 2, 3])], "chrom string, inner array<long>, outer array<long>")
+    got = graph.reduced_containment(held, ["chrom"]).collect()
+    assert sorted((r.inner, r.outer) for r in got) == [([1], [1, 2]), ([1, 2], [1, 2, 3])]
+    cut = graph.split_bins(spark.createDataFrame([("c", [1, 2, 3]), ("c", [1, 2])], "chrom string, exon_ids array<long>"), ["chrom"]).collect()
+    assert [(r.exon_id, r.left, r.right) for r in cut] == [(2, [1, 2], [2, 3])]
