@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, line_dedup, lm_score, mixing, quality, reshard, secret_scan, simhash, spm, topk
+from . import compress_class, divergence, dual_tree, html_extract, line_dedup, lm_score, mixing, quality, reshard, secret_scan, simhash, spm, topk
 from .common import MOST_ROWS, materialize, sized
 
 
@@ -90,6 +90,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compress_class.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(compress_class.fold_of() == 1, F.lit(False)).alias("held_out")
+    return compress_class.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_suffix_text": op1_host_suffix_text,
     "op2_resharding": op2_resharding,
@@ -101,9 +116,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_top_k": op8_block_top_k,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op12_compression_quality": op12_compression_quality,
+    "op13_dual_tree_search": op13_dual_tree_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_apportioned_mix": mixing.MIX_SQL,
     "op8_block_top_k": topk.TOP_K_SQL,
+    "op11_divergence_audit": divergence.AUDIT_SQL,
+    "op13_dual_tree_search": dual_tree.RANK_SQL,
 }
