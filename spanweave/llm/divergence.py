@@ -64,7 +64,7 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             terms = list(n)
             yield pa.record_batch(
                 [
-                    pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()),
+                    pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()),
                     pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64()),
                 ],
                 ["lang", "source", "term", "n", "docs"],
