@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import reachable
 from .tables import written
 
 
@@ -76,19 +77,6 @@ def small_junctions(arcs: DataFrame, nodes: DataFrame, keys: Sequence[str], n_sa
     return votes.where(F.floor(F.col("votes") * 100 / n_samples) >= high_percent)
 
 
-def reachable(arcs: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nodes that directed arcs lead to from ``starts`` (``keys, node``), those included."""
-    seen = written(starts.select(*keys, "node").distinct())
-    front = seen
-    hops = arcs.select(*keys, F.col("a").alias("node"), "b").distinct()
-    while True:
-        nxt = front.join(hops, [*keys, "node"]).select(*keys, F.col("b").alias("node")).distinct()
-        front = written(nxt.join(seen, [*keys, "node"], "left_anti"))
-        if not front.limit(1).count():
-            return seen
-        seen = written(seen.unionByName(front))
-
-
 def without_dead_ends(arcs: DataFrame, sources: DataFrame, drains: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Arcs on some path from a source to a drain."""
     ahead = reachable(arcs, sources, keys)

@@ -78,7 +78,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALIGNMENTS = """
 raw as (
   select *, cast(l_quantity as bigint) as q, cast(floor((cast(l_quantity as bigint) + 1) / 2) as bigint) as half from lineitem),
-alignments as (
+alignments as materialized (
   select (((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey) * 64 + q as read_id, cast(l_linenumber % 3 as int) as sample_id, l_returnflag as chrom,
     case when l_linestatus = 'O' then '+' else '-' end as strand,
     l_partkey * 400 + (cast(l_shipdate as date) - date '1992-01-01') % 97 as pos,
@@ -95,15 +95,15 @@ alignments as (
   from raw),
 plain as (
   select read_id, sample_id, chrom, strand, pos as "left", pos + seq_len - 1 as "right" from alignments),
-ops as (
+ops as materialized (
   select *, cast(regexp_extract(tok, '^[0-9]+') as bigint) as n, right(tok, 1) as op from (
     select *, unnest(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) as tok,
       unnest(range(1, len(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) + 1)) as no from alignments)),
-usable as (
-  select a.* from alignments a
-  where a.flag & 260 = 0 and a.mapq >= 1 and a.read_id not in (
-    select read_id from (select *, max(no) over (partition by read_id) as last from ops)
-    where (op = 'N' and n > 1000000) or (op = 'M' and n < 3 and no > 1 and no < last))),
+bad_ops as (
+  select distinct read_id from (select *, max(no) over (partition by read_id) as last from ops)
+  where (op = 'N' and n > 1000000) or (op = 'M' and n < 3 and no > 1 and no < last)),
+usable as materialized (
+  select a.* from alignments a anti join bad_ops b on b.read_id = a.read_id where a.flag & 260 = 0 and a.mapq >= 1),
 pieces as (
   select read_id, sample_id, chrom, strand, s as "left", s + n - 1 as "right", no from (
     select *, pos + coalesce(sum(case when op in ('M', 'D', 'N', '=', 'X') then n else 0 end)
@@ -112,29 +112,29 @@ pieces as (
 marked as (
   select *, sum(case when prev is null or "left" - prev >= 5 then 1 else 0 end) over (partition by read_id order by no) as grp from (
     select *, lag("right") over (partition by read_id order by no) as prev from pieces)),
-segs as (
+segs as materialized (
   select read_id, sample_id, chrom, strand, cast(grp - 1 as int) as seg_no, cast(min("left") as bigint) as "left", cast(max("right") as bigint) as "right"
-  from marked where read_id in (select read_id from usable) group by all),
-gaps as (
+  from marked m semi join usable u on u.read_id = m.read_id group by all),
+gaps as materialized (
   select *, "right" + 1 as jl, lead("left") over (partition by read_id order by seg_no) - 1 as jr,
     "right" - "left" + 1 as len, lead("right" - "left" + 1) over (partition by read_id order by seg_no) as next_len,
     count(*) over (partition by read_id) as n_segs from segs),
-juncs as (
+juncs as materialized (
   select chrom, strand, jl, jr, sample_id, count(*) as n from gaps
   where jr is not null and not (seg_no = 0 and len < 10) and not (seg_no = n_segs - 2 and next_len < 10)
   group by all)
 """
 
 TRANSCRIPTS = """
-tx_exons as (
+tx_exons as materialized (
   select l_orderkey as id, o_orderstatus as chrom, o_custkey % 50 as gene, o_custkey * 2000 + l_linenumber * 300 as start,
     o_custkey * 2000 + l_linenumber * 300 + 49 + 2 * cast(l_quantity as bigint) as "end", cast(l_quantity as bigint) as q
   from lineitem join orders on l_orderkey = o_orderkey),
-transcripts as (
+transcripts as materialized (
   select id, chrom, gene, min(start) as start, max("end") as "end", count(*) as n_exons, cast(sum("end" - start + 1) as bigint) as length,
     cast(sum(q) as bigint) as flow, sum(q) / 4.0::double as mean, max(q) / 5.0::double as score
   from tx_exons group by all),
-series as (
+series as materialized (
   select t.* exclude (mean, score), s.sample_id, t.mean * share as mean, t.score * share as score, id % 40 = 0 as guided, id % 31 = 0 as barred
   from (select t.*, unnest([0, 1, 2]) as sample_id from transcripts t) x
   join transcripts t using (id, chrom)
@@ -142,6 +142,22 @@ series as (
 tx_marked as (
   select *, case when max("end") over (partition by chrom order by start, "end", id rows between unbounded preceding and 1 preceding) >= start then 0 else 1 end as opens from transcripts),
 tx_numbered as (select *, sum(opens) over (partition by chrom order by start, "end", id) as no from tx_marked),
-tx_regions as (
+tx_regions as materialized (
   select id, chrom, min(start) over (partition by chrom, no) as region_start, max("end") over (partition by chrom, no) as region_end from tx_numbered)
 """
+
+
+def fixed_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated exons' starts and ends, of each part on every chromosome and strand."""
+    part = table(spark, sf_dir, "part").select(
+        F.explode(F.array(*map(F.lit, "ANR"))).alias("chrom"), "p_partkey"
+    ).select("chrom", F.explode(F.array(*map(F.lit, "+-"))).alias("strand"), "p_partkey")
+    ends = F.array(*[F.struct(F.lit(kind).alias("kind"), (F.col("p_partkey") * 400 + at).cast("bigint").alias("pos")) for kind, at in (("START", 10), ("END", 59))])
+    return part.select("chrom", "strand", F.explode(ends).alias("_e")).select("chrom", "strand", "_e.kind", "_e.pos").distinct()
+
+
+FIXED = """
+, fixed as materialized (select distinct c.chrom, s.strand, k.kind, cast(p_partkey * 400 + k.shift as bigint) as mark from part
+  cross join (select unnest(['A', 'N', 'R']) as chrom) c cross join (select unnest(['+', '-']) as strand) s
+  cross join (select * from (values ('START', 10), ('END', 59)) v(kind, shift)) k)
+"""

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
-from ..operators import graph, intervals, pairs, quantify, reads
+from ..operators import asof, graph, intervals, pairs, quantify, reads
 from ..operators.tables import written
 from ..sources import text
 from ..streaming import blocks
 from . import fixtures
-from .fixtures import ALIGNMENTS, SAMPLES, TRANSCRIPTS
+from .fixtures import ALIGNMENTS, FIXED, SAMPLES, TRANSCRIPTS
 
 KEYS = ["chrom", "strand"]
 QUERIES: dict = {}
@@ -111,7 +111,7 @@ deep as (select * from cov where depth > 0)
 RAW = """
 , dm as (select *, max("end") over (partition by chrom, strand order by start rows between unbounded preceding and 1 preceding) as border from deep),
 dk as (select *, sum(case when border is null or start - border >= 5 then 1 else 0 end) over (partition by chrom, strand order by start) as no from dm),
-exons as (select chrom, strand, min(start) as start, max("end") as "end" from dk group by chrom, strand, no)
+exons as materialized (select chrom, strand, min(start) as start, max("end") as "end" from dk group by chrom, strand, no)
 """
 
 
@@ -129,7 +129,7 @@ CUTS = """
 , cut as (select distinct chrom, strand, jl as pos from juncs union select distinct chrom, strand, jr + 1 from juncs),
 points as (select chrom, strand, start, "end", start as pos from exons union
   select e.chrom, e.strand, e.start, e."end", c.pos from exons e join cut c on c.chrom = e.chrom and c.strand = e.strand and c.pos > e.start and c.pos <= e."end"),
-parts as (select chrom, strand, pos as start, coalesce(lead(pos) over (partition by chrom, strand, start order by pos) - 1, "end") as "end" from points)
+parts as materialized (select chrom, strand, pos as start, coalesce(lead(pos) over (partition by chrom, strand, start order by pos) - 1, "end") as "end" from points)
 """
 
 
@@ -151,7 +151,7 @@ def exon_segments(spark, d):
 
 
 HITS = PIECES + """
-, hits as (select s.read_id, s.sample_id, s.seg_no, s."left", s."right", p.* from segs s join parts p
+, hits as materialized (select s.read_id, s.sample_id, s.seg_no, s."left", s."right", p.* from segs s join parts p
   on p.chrom = s.chrom and p.strand = s.strand and s."left" <= p."end" and p.start <= s."right")
 """
 
@@ -208,12 +208,12 @@ BOUNDS = """
 proven as (
   select read_id, jl - 1 as pos, 'END' as kind from gaps where jr is not null and not (seg_no = 0 and len < 10) and not (seg_no = n_segs - 2 and next_len < 10) union
   select read_id, jr + 1, 'START' from gaps where jr is not null and not (seg_no = 0 and len < 10) and not (seg_no = n_segs - 2 and next_len < 10)),
-marks as (select e.*, p.read_id is not null as evidence from ends e left join proven p on p.read_id = e.read_id and p.kind = e.kind and p.pos = e.pos)
+marks as materialized (select e.*, p.read_id is not null as evidence from ends e left join proven p on p.read_id = e.read_id and p.kind = e.kind and p.pos = e.pos)
 """
 GROUPS = BOUNDS + """
 , o as (select *, lag(pos) over (partition by chrom, strand, kind order by pos) as prev from (select distinct chrom, strand, kind, pos from marks)),
 g as (select *, sum(case when prev is null or pos > prev + 1 then 1 else 0 end) over (partition by chrom, strand, kind order by pos) as no from o),
-groups as (
+groups as materialized (
   select chrom, strand, kind, min(pos) as start, max(pos) as "end", count(*) as n, cast(count(distinct sample_id) as int) as n_samples
   from marks join g using (chrom, strand, kind, pos) group by chrom, strand, kind, no
   having bool_or(evidence) and count(distinct sample_id) * 100 // 3 >= 30)
@@ -229,16 +229,29 @@ def boundary_groups(spark, d):
     return _groups(spark, d)
 
 
-@query(aligned(GROUPS + """
-, c as (select distinct chrom, strand, kind, cast(floor((start + "end") / 2.0) as bigint) as mark from groups),
-p as (select distinct chrom, strand, kind, pos from marks),
-d as (select p.*, c.mark, row_number() over (partition by p.chrom, p.strand, p.kind, p.pos order by abs(c.mark - p.pos), c.mark desc) as rk
-  from p join (select *, unnest([mark - 3, mark - 2, mark - 1, mark, mark + 1, mark + 2, mark + 3]) as pos from c) c using (chrom, strand, kind, pos))
-select p.chrom, p.strand, p.kind, p.pos, coalesce(d.mark, -1) as mark from p left join d on d.chrom = p.chrom and d.strand = p.strand and d.kind = p.kind and d.pos = p.pos and d.rk = 1"""))
+CENTRES = GROUPS + FIXED + """
+, c as materialized (select distinct chrom, strand, kind, cast(floor((start + "end") / 2.0) as bigint) as mark from groups)
+"""
+
+
+def _centres(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).select(*KEYS, "kind", F.floor((F.col("start") + F.col("end")) / 2).alias("pos")).distinct()
+
+
+@query(aligned(CENTRES + """
+, p as (select distinct chrom, strand, kind, pos from marks),
+d as (
+  select p.*, case when c1.mark is null or p.pos - c2.mark < c1.mark - p.pos then c2.mark else c1.mark end as near_c,
+    case when f1.mark is null or p.pos - f2.mark < f1.mark - p.pos then f2.mark else f1.mark end as near_f
+  from p asof left join c c1 on c1.chrom = p.chrom and c1.strand = p.strand and c1.kind = p.kind and p.pos <= c1.mark
+    asof left join c c2 on c2.chrom = p.chrom and c2.strand = p.strand and c2.kind = p.kind and p.pos > c2.mark
+    asof left join fixed f1 on f1.chrom = p.chrom and f1.strand = p.strand and f1.kind = p.kind and p.pos <= f1.mark
+    asof left join fixed f2 on f2.chrom = p.chrom and f2.strand = p.strand and f2.kind = p.kind and p.pos > f2.mark)
+select chrom, strand, kind, pos, case when abs(near_c - pos) <= 3 then near_c when abs(near_f - pos) <= 3 then near_f else -1 end as mark from d"""))
 def nearest_boundary(spark, d):
+    """Each stretch end's clustered boundary, or an annotated one where none is near, or -1."""
     marks = reads.boundaries(_segments(spark, d)).select(*KEYS, "kind", "pos").distinct()
-    centre = _groups(spark, d).select(*KEYS, "kind", F.floor((F.col("start") + F.col("end")) / 2).alias("pos"))
-    found = intervals.nearest(marks, centre, [*KEYS, "kind"], 3)
+    found = asof.nearest_mark(written(marks), _centres(spark, d), fixtures.fixed_boundaries(spark, d), [*KEYS, "kind"], 3)
     return found.select(*KEYS, "kind", "pos", F.coalesce("mark", F.lit(-1)).alias("mark"))
 
 
@@ -273,7 +286,7 @@ def insert_size(spark, d):
 
 
 ATOMS = HITS + """
-, atoms as (select read_id, sample_id, chrom, strand, string_agg(distinct cast(start as varchar), ',' order by cast(start as varchar)) as x,
+, atoms as materialized (select read_id, sample_id, chrom, strand, string_agg(distinct cast(start as varchar), ',' order by cast(start as varchar)) as x,
     array_to_string(list_sort(list_distinct(list(start))), ',') as exon_ids, min("left") as "left", max("right") as "right" from hits group by read_id, sample_id, chrom, strand)
 """.replace("string_agg(distinct cast(start as varchar), ',' order by cast(start as varchar)) as x,\n    ", "")
 
@@ -302,7 +315,7 @@ def atom_histograms(spark, d):
 , bad as (select distinct g.read_id from gaps g left join (
     select chrom, strand, jl, jr from juncs group by all having sum(n) >= 2) v
   on v.chrom = g.chrom and v.strand = g.strand and v.jl = g.jl and v.jr = g.jr where g.jr is not null and v.jl is null)
-select read_id, seg_no, chrom, strand, "left", "right" from segs where read_id not in (select read_id from bad)"""))
+select s.read_id, seg_no, chrom, strand, "left", "right" from segs s anti join bad b on b.read_id = s.read_id"""))
 def proven_reads(spark, d):
     found = _segments(spark, d)
     valid = reads.junctions(found).groupBy(*KEYS, "jl", "jr").agg(F.sum("n").alias("n")).where("n >= 2")
@@ -312,8 +325,8 @@ def proven_reads(spark, d):
 STEPS = ATOMS + """
 , steps as (select chrom, strand, sample_id, unnest(list_zip(e[1:len(e)-1], e[2:len(e)])) as s from (
     select chrom, strand, sample_id, list_transform(string_split(exon_ids, ','), lambda z: cast(z as bigint)) as e from atoms)),
-arcs as (select chrom, strand, s[1] as a, s[2] as b, sample_id, count(*) as n from steps group by all),
-nodes as (select chrom, strand, exon_id, sample_id, count(*) as n from (
+arcs as materialized (select chrom, strand, s[1] as a, s[2] as b, sample_id, count(*) as n from steps group by all),
+nodes as materialized (select chrom, strand, exon_id, sample_id, count(*) as n from (
     select chrom, strand, sample_id, cast(unnest(string_split(exon_ids, ',')) as bigint) as exon_id from atoms) group by all)
 """
 
