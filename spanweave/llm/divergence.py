@@ -209,7 +209,7 @@ def audit(docs: DataFrame, least_docs: int = 3, top_terms: int = 200) -> DataFra
         F.sum(wide(F.col("terms")) * wide(_f("p", "q0") - _f("p0", "q0"))).alias("there"),
         F.sum(wide(F.col("terms")) * wide(_f("q0", "p") - _f("q0", "p0"))).alias("back"),
     )
-    ways = joint.unionByName(margin)
+    ways = materialize(joint.unionByName(margin))  # read in both directions
     none = F.coalesce(wide(F.col("v")) * wide(_f("p0", "q0")), wide(F.lit(0)))
     base = side.join(other, "lang").where("source <> other").select("lang", "source", F.col("other").alias("item"), none.alias("value"))
     parts = (
