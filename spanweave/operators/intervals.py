@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .running import BIN, JOIN_BIN, before
+from .tables import written
 
 
 def islands(df: DataFrame, keys: Sequence[str], left: str = "left", right: str = "right", join: int = 5, bin_size: int = BIN) -> DataFrame:
@@ -16,17 +17,19 @@ def islands(df: DataFrame, keys: Sequence[str], left: str = "left", right: str =
     A block ends where the next interval begins over ``join`` + 1 behind its
     farthest end; -1 joins only intervals that share a position.
     """
-    marked = before(df, keys, left, [left, right], {"_border": ("max", F.col(right))}, bin_size)
+    marked = before(df.select(*keys, left, right), keys, left, [left, right], {"_border": ("max", F.col(right)), "_seen": ("sum", F.lit(1))}, bin_size)
+    marked = written(marked.withColumn("_bin", F.floor(F.col(left) / bin_size)))
     opens = F.col("_border").isNull() | (F.col(left) > F.col("_border") + 1 + join)
-    marked = marked.withColumn("_open", opens.cast("int"))
-    # of equal intervals the one that opens the block comes first
-    numbered = before(marked, keys, left, [left, right, F.desc("_open")], {"_prior": ("sum", F.col("_open"))}, bin_size)
-    number = F.col("_prior") + F.col("_open")
-    return (
-        numbered.groupBy(*keys, number.alias("_no"))
-        .agg(F.min(left).alias("start"), F.max(right).alias("end"), F.count(F.lit(1)).alias("n"))
-        .drop("_no")
-    )
+    # what stands before the next block's first row ends this one: only first rows are sorted again
+    first = marked.where(opens).select(*keys, "_bin", F.col(left).alias("start"), F.struct("_border", "_seen").alias("_stop"))
+    whole = marked.groupBy(*keys).agg(F.struct(F.max(right).alias("_border"), F.count(F.lit(1)).alias("_seen")).alias("_whole"))
+    per_bin = first.groupBy(*keys, "_bin").agg(F.min_by("_stop", "start").alias("_head"))
+    line = Window.partitionBy(*keys).orderBy("_bin")
+    per_bin = per_bin.select(*keys, "_bin", F.lead("_head").over(line).alias("_later"))
+    near = Window.partitionBy(*keys, "_bin").orderBy("start")
+    first = first.withColumn("_next", F.lead("_stop").over(near)).join(per_bin, [*keys, "_bin"]).join(whole, list(keys))
+    stop = F.coalesce("_next", "_later", "_whole")
+    return first.select(*keys, "start", stop["_border"].alias("end"), (stop["_seen"] - F.col("_stop._seen")).alias("n"))
 
 
 def coverage(df: DataFrame, keys: Sequence[str], left: str = "left", right: str = "right", bin_size: int = BIN) -> DataFrame:

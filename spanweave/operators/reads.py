@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as A
+from .tables import written
 
 KEYS = ["chrom", "strand"]
 
@@ -38,11 +39,34 @@ def with_segments(records: DataFrame, min_intron: int = 5) -> DataFrame:
     return out.where(F.size("segments") > 0)
 
 
-def exploded_segments(reads: DataFrame) -> DataFrame:
-    """One row per aligned stretch, numbered from 0."""
-    return reads.select("read_id", "sample_id", *KEYS, F.posexplode("segments").alias("seg_no", "_s")).select(
-        "read_id", "sample_id", *KEYS, "seg_no", F.col("_s.left").alias("left"), F.col("_s.right").alias("right")
-    )
+#: Distinct CIGARs that may be broadcast with what follows from them (some tens of MB).
+MOST_SHAPES = 100_000
+
+
+def usable_segments(records: DataFrame, max_intron: int = 1_000_000, min_inner: int = 3, min_mapq: int = 1, min_intron: int = 5) -> DataFrame:
+    """:func:`usable` records with their :func:`segments <with_segments>`.
+
+    Each distinct CIGAR is folded once, from position 0, and its stretches are moved
+    to each record; with more than ``MOST_SHAPES`` of them each record is folded.
+    """
+    flags = F.col("flag").bitwiseAND(F.lit(A.SECONDARY | A.UNMAPPED)) == 0
+    held = records.where(flags & (F.col("mapq") >= min_mapq) & F.col("cigar").isNotNull())
+    ops = held.select("cigar").distinct().select("cigar", F.explode(F.array(A.cigar_ops(F.col("cigar")))).alias("_ops"))
+    n = F.size("_ops")
+    long_skip = F.exists("_ops", lambda o: (o["op"] == "N") & (o["n"] > max_intron))
+    inner = F.exists(F.filter("_ops", lambda o, i: (i > 0) & (i < n - 1)), lambda o: (o["op"] == "M") & (o["n"] < min_inner))
+    shapes = written(ops.where(~long_skip & ~inner).select("cigar", A.segments(F.col("cigar"), F.lit(0), min_intron).alias("_shape")).where(F.size("_shape") > 0))
+    if shapes.count() > MOST_SHAPES:
+        return with_segments(usable(records, max_intron, min_inner, min_mapq), min_intron)
+    moved = F.transform("_shape", lambda s: F.struct((s["left"] + F.col("pos")).alias("left"), (s["right"] + F.col("pos")).alias("right")))
+    return held.join(F.broadcast(shapes), "cigar").select(*records.columns, moved.alias("segments"))
+
+
+def exploded_segments(reads: DataFrame, before: bool = False) -> DataFrame:
+    """One row per aligned stretch, numbered from 0; ``before`` adds ``prev_right``, the end of the read's stretch before."""
+    rows = reads.select("read_id", "sample_id", *KEYS, *["segments"] * before, F.posexplode("segments").alias("seg_no", "_s"))
+    prev = [F.get("segments", F.col("seg_no") - 1)["right"].alias("prev_right")] if before else []
+    return rows.select("read_id", "sample_id", *KEYS, "seg_no", F.col("_s.left").alias("left"), F.col("_s.right").alias("right"), *prev)
 
 
 def collapsed(reads: DataFrame) -> DataFrame:
@@ -95,7 +119,10 @@ def library_totals(records: DataFrame) -> DataFrame:
 
 
 def merged(*inputs: DataFrame) -> DataFrame:
-    """Records of several sorted inputs in one order: by position, then input."""
+    """Records of several inputs in one order: by chromosome, position, then input.
+
+    Ranges of positions are dealt to tasks and each is ordered on its own.
+    """
     out = None
     for no, df in enumerate(inputs):
         df = df.withColumn("input_no", F.lit(no))

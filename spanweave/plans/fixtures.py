@@ -68,7 +68,12 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three samples of each transcript; each sample sees another share of it."""
-    t = transcripts(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, SAMPLES))).alias("sample_id"))
+    return sampled(transcripts(spark, sf_dir))
+
+
+def sampled(found: DataFrame) -> DataFrame:
+    """A row of each transcript for each sample."""
+    t = found.select("*", F.explode(F.array(*map(F.lit, SAMPLES))).alias("sample_id"))
     share = F.element_at(F.array(F.lit(1.0), F.lit(0.5), F.lit(0.25)), ((F.col("id") + F.col("sample_id")) % 3 + 1).cast("int"))
     return t.withColumn("mean", F.col("mean") * share).withColumn("score", F.col("score") * share).withColumn("guided", F.col("id") % 40 == 0).withColumn(
         "barred", F.col("id") % 31 == 0

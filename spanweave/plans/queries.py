@@ -37,7 +37,7 @@ def transcribed(sql: str) -> str:
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return reads.with_segments(reads.usable(fixtures.alignments(spark, d)))
+    return reads.usable_segments(fixtures.alignments(spark, d))
 
 
 @query(aligned("select read_id, sample_id, chrom, strand, pos, cigar from usable"))
@@ -136,7 +136,7 @@ parts as materialized (select chrom, strand, pos as start, coalesce(lead(pos) ov
 def _pieces(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Exon pieces cut at junction ends, and the aligned stretches."""
     found = written(_segments(spark, d))
-    segs = written(reads.exploded_segments(found))
+    segs = written(reads.exploded_segments(found, before=True))
     cut = reads.junctions(found).select(*KEYS, F.explode(F.array(F.col("jl"), F.col("jr") + 1)).alias("pos")).distinct()
     exons = written(intervals.covered_stretches(segs, KEYS))
     return written(intervals.cut_at(exons, cut, KEYS)), segs
@@ -168,13 +168,18 @@ COVER = """select chrom, strand, start, "end", sample_id, count(distinct read_id
 from hits group by chrom, strand, start, "end", sample_id"""
 
 
+def _n_reads() -> F.Column:
+    """Reads of a piece: a stretch doesn't count if the read's stretch before touches the piece as well."""
+    return F.sum(F.when(F.col("prev_right") >= F.col("start"), 0).otherwise(1))
+
+
 @query(aligned(HITS + COVER))
 def exon_coverage(spark, d):
     """Coverage of every exon piece per sample: the flagship."""
     parts, segs = _pieces(spark, d)
     hit = intervals.overlap_join(segs, parts, KEYS, ("left", "right"), ("start", "end"))
     bases = F.sum(F.least("right", "end") - F.greatest("left", "start") + 1)
-    out = hit.groupBy(*KEYS, "start", "end", "sample_id").agg(F.countDistinct("read_id").alias("n_reads"), bases.alias("bases"))
+    out = hit.groupBy(*KEYS, "start", "end", "sample_id").agg(_n_reads().alias("n_reads"), bases.alias("bases"))
     return out.withColumn("mean_coverage", F.round(F.col("bases") / (F.col("end") - F.col("start") + 1), 6))
 
 
@@ -394,8 +399,8 @@ p as (select *, guided or (mean >= top * 10 / 100.0::double and (mean > 4 or sco
 
 
 def _passing(spark: SparkSession, d: str) -> DataFrame:
-    with_region = quantify.with_regions(fixtures.series(spark, d), ["chrom"])
-    return quantify.passing(with_region, ["chrom"], percent=10.0)
+    with_region = quantify.with_regions(written(fixtures.transcripts(spark, d).drop("exons")), ["chrom"])
+    return quantify.passing(written(fixtures.sampled(with_region)), ["chrom"], percent=10.0)
 
 
 @query(transcribed(PASSING + "select id, sample_id, region_start, passes from p"))
@@ -458,7 +463,7 @@ def error_matrix(spark, d):
     parts, segs = _pieces(spark, d)
     hit = intervals.overlap_join(segs, parts, KEYS, ("left", "right"), ("start", "end"))
     by = [*KEYS, "start", "end"]
-    counts = hit.groupBy(*by, "sample_id").agg(F.countDistinct("read_id").alias("n"))
+    counts = hit.groupBy(*by, "sample_id").agg(_n_reads().alias("n"))
     short = counts.withColumn("error", F.max("n").over(Window.partitionBy(*by)) - F.col("n"))
     return quantify.matrix(short.withColumn("feature", F.lit("Exon")), [*by, "feature"], "error", SAMPLES)
 
