@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, unused
 
 WEIGHTS = (3, 1, 2)
 
@@ -208,14 +208,17 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     part; documents that the mix leaves out go.  ``n_chars``, if there, is the
     new length.  Null and repeated ids are rows of their own.
     """
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    plan = mix(keyed, **options, key="_row").select("_row", "size", "whole", "part").where("whole > 0 or part > 0")
+    row, made = unused(docs, "row"), unused(docs, "text")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = mix(keyed, **options, key=row)
+    size, whole, part = (unused(docs, c) for c in ("size", "whole", "part"))
+    plan = plan.select(row, F.col("size").alias(size), F.col("whole").alias(whole), F.col("part").alias(part)).where((F.col(whole) > 0) | (F.col(part) > 0))
     plan = materialize(plan)
-    joined = keyed.join(plan, "_row")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), "")
-    last = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(cut)
-    rounds = F.concat(F.array_repeat(F.col("text"), F.col("whole").cast("int")), F.when(F.col("part") > 0, F.array(last)).otherwise(F.array().cast("array<string>")))
-    out = joined.withColumn("_text", F.explode(rounds)).withColumn("text", F.col("_text"))
+    joined = keyed.join(plan, row)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col(part), F.lit(1)).cast("int")), "")
+    last = F.when(F.col(part) == F.col(size), F.col("text")).otherwise(cut)
+    rounds = F.concat(F.array_repeat(F.col("text"), F.col(whole).cast("int")), F.when(F.col(part) > 0, F.array(last)).otherwise(F.array().cast("array<string>")))
+    out = joined.withColumn(made, F.explode(rounds)).withColumn("text", F.col(made))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, unused
 
 #: Phrases of notices and page furniture, in lower case.
 BOILERPLATE = (
@@ -75,8 +75,9 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: float = 0.4, max_
     t = F.coalesce(F.col(text), F.lit(""))
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned_text", "lost", "kept"]
     base = docs.drop(*[c for c in own if c != text])
-    words = base.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).withColumn("_lines", F.split(t, "\n", -1))
-    w = F.col("_words")
+    held, lines, full, grams = (unused(docs, c) for c in ("words", "lines", "filled", "grams"))
+    words = base.withColumn(held, F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).withColumn(lines, F.split(t, "\n", -1))
+    w = F.col(held)
     n = F.size(w)
     hashes = F.when(
         n >= 3,
@@ -87,24 +88,24 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: float = 0.4, max_
             )
         ),
     ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
-    filled = F.filter(F.col("_lines"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    filled = F.filter(F.col(lines), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     measured = words.select(
         *base.columns,
-        "_lines",
+        lines,
         n.cast("long").alias("n_words"),
         F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        filled.alias("_filled"),
-        hashes.alias("_grams"),
+        filled.alias(full),
+        hashes.alias(grams),
     )
-    good = F.filter(F.col("_lines"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~line_fails(x, max_marks))
+    good = F.filter(F.col(lines), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~line_fails(x, max_marks))
     judged = measured.select(
         *base.columns,
         "n_words",
         "word_chars",
         "n_symbols",
-        (F.size("_filled") - F.size(F.array_distinct("_filled"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("_grams"), n).alias("n_repeat_words"),
+        (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
+        _repeat_words(F.col(grams), n).alias("n_repeat_words"),
         F.array_join(good, "\n").alias("cleaned_text"),
     )
     # a generated row: a filter on the results isn't pushed below it, into the array functions

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 #: Salts per old shard and size class: 64 shards x 40 classes x 16 salts bound the block table.
 SALTS = 16
@@ -116,45 +116,49 @@ def reshard(
     ``rows`` is a narrow table with a key, a size in bytes (long, 0 or more) and
     the old shard; all its columns stay.  Capacities default to equal bytes for
     shards 0 to ``new_shards - 1``.  Rows of equal keys are placed one by one; a
-    null key is a key like any other; a null old shard counts as shard -1, from
-    which every row moves.  An empty table gives no rows.
+    null key is a key like any other; a null old shard counts as a shard from
+    which every row moves; a real shard -1 is another one.  Columns named
+    ``shard`` and ``slot`` are replaced.  An empty table gives no rows.
     """
-    rows = rows.withColumn("_old", F.coalesce(F.col(old).cast("int"), F.lit(-1)))
+    rows = rows.drop(*[c for c in ("shard", "slot") if c not in (key, size, old)])
+    o, klass, salt, n_bytes, base, at, nth, first = (unused(rows, c) for c in ("old", "class", "salt", "bytes", "base", "at", "nth", "first"))
+    none = -(1 << 31)  # stands for a null old shard
+    rows = rows.withColumn(o, F.coalesce(F.col(old).cast("int"), F.lit(none)))
     # powers of two, halved once: rows of a class differ by a third at most
-    klass = F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double")) * 2).cast("int")
-    rows = rows.withColumn("_class", klass).withColumn("_salt", F.pmod(F.xxhash64(key, size), F.lit(SALTS)).cast("int"))
-    block = ["_old", "_class", "_salt"]
+    rows = rows.withColumn(klass, F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double")) * 2).cast("int"))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(key, size), F.lit(SALTS)).cast("int"))
+    block = [o, klass, salt]
     rows = materialize(rows)
-    per_block = rows.groupBy(*block).agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    line = Window.partitionBy("_old").orderBy(F.desc("_class"), "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    at_block = materialize(per_block.withColumn("_base", F.coalesce(F.sum("_bytes").over(line), F.lit(0))))
-    supply = {r[0]: int(r[1]) for r in at_block.groupBy("_old").agg(F.sum("_bytes")).collect()}  # a row per old shard
+    per_block = rows.groupBy(*block).agg(F.sum(size).alias(n_bytes))
+    line = Window.partitionBy(o).orderBy(F.desc(klass), salt).rowsBetween(Window.unboundedPreceding, -1)
+    at_block = materialize(per_block.withColumn(base, F.coalesce(F.sum(n_bytes).over(line), F.lit(0))))
+    supply = {r[0]: int(r[1]) for r in at_block.groupBy(o).agg(F.sum(n_bytes)).collect()}  # a row per old shard
     capacities = capacities or dict(enumerate(even_capacities(sum(supply.values()), new_shards)))
     plan = transfers(supply, capacities) or [(0, 0, 0, 0)]
     by_old: dict[int, list[tuple[int, int]]] = {}
-    for o, n, lo, _ in plan:
-        by_old.setdefault(o, []).append((lo, n))
-    steps = F.create_map(*[x for o, cuts in by_old.items() for x in (F.lit(o), F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(n).alias("n")) for lo, n in cuts]))])
+    for i, n, lo, _ in plan:
+        by_old.setdefault(i, []).append((lo, n))
+    steps = F.create_map(*[x for i, cuts in by_old.items() for x in (F.lit(i), F.array(*[F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(n).alias("n")) for lo, n in cuts]))])
     within = Window.partitionBy(*block).orderBy(F.desc(size), F.xxhash64(key), key)
+    cuts = steps[F.col(o)]
+    # the last stretch that begins at or before the row's middle byte
+    target = F.aggregate(cuts, F.get(cuts, 0)["n"], lambda s, c: F.when(2 * c["lo"] <= 2 * F.col(at) + F.col(size), c["n"]).otherwise(s))
     placed = (
-        rows.join(at_block.select(*block, "_base"), block)
-        .withColumn("_at", F.col("_base") + F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_nth", F.row_number().over(within))
-        .withColumn("_cuts", steps[F.col("_old")])
-        # the last stretch that begins at or before the row's middle byte
-        .withColumn("shard", F.expr(f"aggregate(_cuts, _cuts[0].n, (s, c) -> if(2 * c.lo <= 2 * _at + {size}, c.n, s))"))
-        .drop("_cuts")
+        rows.join(at_block.select(*block, base), block)
+        .withColumn(at, F.col(base) + F.coalesce(F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn(nth, F.row_number().over(within))
+        .withColumn("shard", target)
     )
     placed = materialize(placed)
     # slots: a count per (shard, block), then the place inside it
-    counts = placed.groupBy("shard", *block).agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed.groupBy("shard", *block).agg(F.count(F.lit(1)).alias(n_bytes))
     order = Window.partitionBy("shard").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("shard", *block).orderBy("_nth")
+    counts = counts.withColumn(first, F.coalesce(F.sum(n_bytes).over(order), F.lit(0))).drop(n_bytes)
+    inside = Window.partitionBy("shard", *block).orderBy(nth)
     return (
         placed.join(counts, ["shard", *block])
-        .withColumn("slot", F.col("_first") + F.row_number().over(inside) - 1)
-        .drop(*block, "_base", "_at", "_nth", "_first")
+        .withColumn("slot", F.col(first) + F.row_number().over(inside) - 1)
+        .drop(*block, base, at, nth, first)
     )
 
 

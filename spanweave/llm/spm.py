@@ -188,21 +188,23 @@ class PieceModel:
         """Ids of a run whose characters all occur in pieces.
 
         The automaton gives the longest piece at a position; its shorter ones are
-        a chain.  A bit of ``failed`` stands for a position from which no pieces
+        a chain.  A place of ``failed`` stands for a position from which no pieces
         that hold lead to the end.
         """
         if self.odd and self.odd.search(text):
             return self._merged(text)
-        pairs, sizes, shorter, longest = self.pairs, self.sizes, self.shorter, self.aho.iter_long
+        pairs, sizes, shorter, longest, reach = self.pairs, self.sizes, self.shorter, self.aho.iter_long, self.longest
         ahead = [i for _, i in longest(text)]
         ahead.reverse()  # longest pieces from here on, as long as none was refused
         out: list[int] = []
-        n, at, failed, last = len(text), 0, 0, -1
+        n, at, last = len(text), 0, -1
+        failed = bytearray(n + 1)
         while at < n:
-            i = ahead.pop() if ahead else next(longest(text, at))[1]
+            # the automaton copies what it is given, so it gets no more than a piece can hold
+            i = ahead.pop() if ahead else next(longest(text[at : at + reach]))[1]
             while True:
                 while i >= 0:
-                    if not failed >> (at + sizes[i]) & 1:
+                    if not failed[at + sizes[i]]:
                         if last < 0:
                             break
                         known = pairs.get(last << 32 | i)
@@ -214,7 +216,7 @@ class PieceModel:
                     break
                 if not out:
                     return self._merged(text)
-                failed |= 1 << at
+                failed[at] = 1
                 i = out.pop()
                 at -= sizes[i]
                 i = shorter[i]
