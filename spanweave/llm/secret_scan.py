@@ -5,9 +5,10 @@ models, one of random strings and one of ordinary identifiers, are compared on
 every run of 12 or more key characters: the mean log-likelihood ratio per
 character decides.  Both are trained on labelled samples from the table itself:
 hex strings, access keys, and assigned values of 16 or more characters with a
-digit are labelled random, words and identifiers outside all base matches
-ordinary.  A quarter of the labelled strings is held out, and the threshold lies
-between the two labels' ratios there.
+digit are labelled random; words, identifiers, numbers, dates and paths outside
+all base matches ordinary.  A quarter of the labelled strings is held out, and the
+threshold lies between the two labels' ratios there.  Random strings of lower-case
+letters only are mostly taken for ordinary.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ BASE = (
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 #: Runs that the models judge.
 CANDIDATE, CANDIDATE_CHARS = r"[A-Za-z0-9+/_=-]{12,}", 12
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_.-]{3,}"
+#: What counts as an ordinary string outside all base matches: words, identifiers, numbers, dates, paths.
+ORDINARY = r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{3,}"
 #: Mean log-likelihood ratio per character (nats) from which a run counts as random, where no samples are held out.
 THRESHOLD = 0.6
 #: Shares of held-out random strings that may be missed, and of ordinary ones that may be found.
@@ -97,7 +99,7 @@ def samples(docs: DataFrame, text: str = "text", key: str = "doc_id", train_docs
         clean = F.regexp_replace(clean, p, " ")
     share = min(1.0, train_docs / max(docs.count(), 1))
     chosen = docs.where(F.pmod(F.xxhash64(key, text, F.lit("train")), F.lit(1 << 52)) < F.lit(share) * F.lit(float(1 << 52)))
-    plain = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(False).alias("random"))
+    plain = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit(ORDINARY), F.lit(0))).alias("token"), F.lit(False).alias("random"))
     held_out = F.pmod(F.xxhash64("token"), F.lit(4)) == 0
     return materialize(found.union(plain).distinct().withColumn("held_out", held_out))
 

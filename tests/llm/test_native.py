@@ -283,8 +283,28 @@ def test_models_tell_random_from_ordinary(spark):
     assert all((s.start, s.end) == (4, 4 + len(hexes[r.doc_id])) for r in found if r.doc_id in hit for s in r.all_spans)
 
 
-def test_models_add_spans_on_table(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    out = secret_scan.scan(docs, secret_scan.train(docs))
-    more = out.select("text", F.explode("all_spans").alias("s")).where(f"s.kind = {len(secret_scan.BASE)}").collect()
-    assert more and all(re.search("[0-9]", r.text[r.s.start : r.s.end]) for r in more)
+def test_planted_secrets_in_documents(spark):
+    """Random strings of seven kinds and ordinary ones of eight, set into the table's own texts."""
+    rng = random.Random(11)
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secret_scan.train(known)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the of minister responsible state energy city market history article national public review program".split()
+    some = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    join = lambda c, n: c.join(rng.choices(words, k=n))
+    digits, hexes = "0123456789", "0123456789abcdef"
+    secret = [lambda: some(chars, 20), lambda: some(chars, 32), lambda: some(chars + "+/", 40), lambda: some(hexes, 18), lambda: some(hexes, 22),
+              lambda: "-".join(some(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: "ghp_" + some(chars, 36)]
+    plain = [lambda: some(digits, 12), lambda: some(digits, 16), lambda: f"20{some(digits, 2)}-0{some(digits, 1)}-1{some(digits, 1)}-{some(digits, 4)}", lambda: "/" + join("/", 4),
+             lambda: join("/", 3) + f"/{some(digits, 3)}", lambda: join("_", 4), lambda: join("-", 4), lambda: "get" + join("", 3)]
+    texts, hidden = [], []
+    for r in known.where("length(text) > 200").orderBy("doc_id").limit(600).collect():
+        made = [make[rng.randrange(len(make))]() for make in (secret, plain)]
+        texts.append(r.text[:100] + f" {made[0]} " + r.text[100:] + f" {made[1]} ")
+        hidden.append([(texts[-1].index(f" {m} ") + 1, len(m)) for m in made])
+    found = {r.doc_id: r.all_spans for r in secret_scan.scan(frame(spark, texts), model).collect()}
+    added = {(i, s.start, s.end) for i, spans in found.items() for s in spans if s.kind == len(secret_scan.BASE)}
+    hit = sum(any(a <= at < b for j, a, b in added if j == i) or any(s.start <= at < s.end for s in found[i]) for i, ((at, _), _) in enumerate(hidden))
+    right = sum(hidden[i][0][0] <= a < sum(hidden[i][0]) for i, a, _ in added)
+    assert hit >= 0.9 * len(texts), hit
+    assert right >= 0.9 * len(added), (right, len(added))
