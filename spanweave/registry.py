@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boundary_queries, graph_queries, region_queries  # noqa: F401  they register their queries
+from .plans import boundary_queries, graph_queries, region_queries, strand_queries  # noqa: F401  they register their queries
 from .plans.queries import ORACLE, QUERIES, exon_coverage
 
 
