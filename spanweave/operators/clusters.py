@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import BIN, before
+from .running import BIN, run_ids, runs
+from .tables import written
 
 #: Costs that differ by less are equal (they are sums of squares of whole positions over whole counts).
 SAME = 1e-9
@@ -98,10 +99,8 @@ def boundary_kmeans(marks: DataFrame, keys: Sequence[str], merge: int = 1, least
     whole, many to a task.
     """
     at = marks.where("pos is not null").groupBy(*keys, "pos").agg(F.count(F.lit(1)).alias("n"))
-    at = before(at, keys, "pos", ["pos"], {"_last": ("max", F.col("pos"))}, bin_size)
-    at = at.withColumn("_open", (F.col("_last").isNull() | (F.col("pos") > F.col("_last") + merge)).cast("int"))
-    at = before(at, keys, "pos", ["pos"], {"_prior": ("sum", F.col("_open"))}, bin_size)
-    at = at.withColumn("_no", F.col("_prior") + F.col("_open")).select(*keys, "_no", "pos", "n")
+    at = run_ids(written(runs(at, keys, "pos", merge, ["pos"], bin_size)), keys)
+    at = at.select(*keys, (F.col("_no._bin") * (bin_size + 1) + F.col("_no._own")).alias("_no"), "pos", "n")
     tasks = max(1, -(-at.count() // TASK_ROWS))
     fields = [at.schema[k] for k in keys] + [at.schema["pos"]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

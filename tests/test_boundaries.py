@@ -181,3 +181,35 @@ def test_reachable_against_a_walk(spark):
                 todo.append(b)
     found = chains.reachable(graph(spark, arcs), nodes(spark, starts), ["k"])
     assert sorted(r["node"] for r in found.collect()) == sorted(seen)
+
+
+def test_groups_across_bins_equal_a_walk(spark):
+    from spanweave.operators import intervals
+
+    rng = random.Random(11)
+    rows = [("c", rng.randrange(200), rng.randrange(3), rng.random() < 0.3) for _ in range(150)]
+    df = spark.createDataFrame(rows, "chrom string, pos bigint, sample_id int, evidence boolean")
+    runs = []
+    for p in sorted({r[1] for r in rows}):
+        if runs and p - runs[-1][-1] <= 2:
+            runs[-1].append(p)
+        else:
+            runs.append([p])
+    want = []
+    for run in runs:
+        own = [r for r in rows if r[1] in run]
+        if any(r[3] for r in own) and len({r[2] for r in own}) * 100 // 3 >= 40:
+            want.append(("c", run[0], run[-1], len(own), len({r[2] for r in own})))
+    for size in (4, 64, 1 << 16):
+        found = intervals.position_groups(df, ["chrom"], 3, merge=2, least_percent=40, bin_size=size)
+        assert sorted(map(tuple, found.select("chrom", "start", "end", "n", "n_samples").collect())) == want
+    counted = df.groupBy("chrom", "pos", "sample_id").agg({"evidence": "max", "*": "count"}).toDF("chrom", "pos", "sample_id", "evidence", "n")
+    found = intervals.position_groups(counted, ["chrom"], 3, merge=2, least_percent=40, bin_size=16)
+    assert sorted(map(tuple, found.select("chrom", "start", "end", "n", "n_samples").collect())) == want
+
+
+def test_no_frame_of_an_asof_join_is_read_again_for_each_row(spark):
+    points = spark.createDataFrame([("c", 5)], "chrom string, pos bigint")
+    plan = asof.around(points, {"m": points}, ["chrom"])._jdf.queryExecution().optimizedPlan().toString()
+    near = [line for line in plan.splitlines() if "_near_" in line and "Window" in line]
+    assert near and not any("unboundedfollowing" in line.lower() for line in near)
