@@ -14,8 +14,10 @@ article is dropped only if it stands on most pages of its host, as copied
 articles also repeat.  Pages without such marks depend on the repeats alone.
 
 A host's pages go to segments of bounded size, by the hash of the page id, and
-each segment is a task; small hosts are one segment.  What is repeated on a
-host is repeated in each of its segments as well.
+each segment is a task; small hosts are one segment.  The suffix arrays of a
+host's segments are merged: each names its classes of suffixes by a 64-bit hash
+of their tokens and counts their pages, and the counts of classes that several
+segments have are added up.  So the result doesn't depend on the segments.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -165,16 +167,15 @@ def suffix_classes(tokens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(tokens: np.ndarray, pages: np.ndarray, length: int) -> np.ndarray:
-    """For each token, on how many pages the best repeated substring over it stands.
+def suffix_pages(tokens: np.ndarray, pages: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, on how many pages its first ``length`` tokens stand, and its class; 0 where it is shorter.
 
     ``pages`` has each token's page; page ends are tokens of their own, none
     equal to another, so no substring reaches over them.
     """
     n = len(tokens)
-    support = np.zeros(n, np.int64)
     if n < length:
-        return support
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
     order, rank = suffix_classes(tokens, length)
     cls, page = rank[order], pages[order]
     by = np.lexsort((page, cls))
@@ -183,14 +184,36 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, length: int) -> np.ndarray:
     per_class = np.bincount(c[first], minlength=int(c.max()) + 1)
     start = per_class[rank]
     start[n - length + 1 :] = 0
-    # a window covers its tokens: the largest of the last ``length`` window values
-    for shift in range(length):
-        np.maximum(support[shift:], start[: n - shift], out=support[shift:])
+    return start, rank
+
+
+def covering(start: np.ndarray, length: int) -> np.ndarray:
+    """A window covers its tokens: the largest of the last ``length`` window values."""
+    support = np.zeros(len(start), np.int64)
+    for shift in range(min(length, len(start))):
+        np.maximum(support[shift:], start[: len(start) - shift], out=support[shift:])
     return support
 
 
-def _segment(frame: pd.DataFrame, length: int, most: float, least_pages: int) -> pd.DataFrame:
-    """Main texts of a segment's pages."""
+def repeated(tokens: np.ndarray, pages: np.ndarray, length: int) -> np.ndarray:
+    """For each token, on how many pages the best repeated substring over it stands."""
+    return covering(suffix_pages(tokens, pages, length)[0], length)
+
+
+def window_names(words: list[str], length: int) -> np.ndarray:
+    """A hash of the ``length`` words from each place on, the same in every process; the last places have 0."""
+    out = np.zeros(len(words), np.uint64)
+    n = len(words) - length + 1
+    if n > 0:
+        h = pd.util.hash_array(np.array(words, dtype=object))
+        for i in range(length):
+            out[:n] = (out[:n] ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out[:n] ^= out[:n] >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _stream(frame: pd.DataFrame) -> tuple[list, list[str], np.ndarray, list]:
+    """A segment's pages as blocks, the words of all pages with page ends between them, each word's page, and the blocks' spans."""
     pages = [[b.split("\x1f", 1) for b in s.split("\x1e")] if s else [] for s in frame["blocks"]]
     words, page_of, spans = [], [], []
     for k, blocks in enumerate(pages):
@@ -203,9 +226,40 @@ def _segment(frame: pd.DataFrame, length: int, most: float, least_pages: int) ->
         words.append(f"\x1d{k}")
         page_of.append(k)
         spans.append(own)
+    return pages, words, np.array(page_of, np.int64), spans
+
+
+def _suffixes(words: list[str], page_of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     tokens = pd.factorize(np.array(words, dtype=object))[0] if words else np.array([], np.int64)
-    support = repeated(tokens, np.array(page_of, np.int64), length)
-    many = max(least_pages, most * len(pages))
+    return suffix_pages(tokens, page_of, length)
+
+
+def _classes(frame: pd.DataFrame, length: int) -> pd.DataFrame:
+    """The named suffix classes of a segment with their numbers of pages."""
+    _, words, page_of, _ = _stream(frame)
+    start, rank = _suffixes(words, page_of, length)
+    ends = np.cumsum(np.fromiter((w[:1] == "\x1d" for w in words), np.int64, len(words)))
+    n = max(len(words) - length + 1, 0)
+    within = np.flatnonzero(ends[length - 1 :][:n] == np.concatenate([[0], ends])[:n])  # no page end inside
+    at = within[np.unique(rank[within], return_index=True)[1]]
+    return pd.DataFrame({"host": frame["host"].iloc[0], "segment": frame["segment"].iloc[0], "name": window_names(words, length)[at], "n": start[at]})
+
+
+def _segment(frame: pd.DataFrame, length: int, most: float, least_pages: int, shared: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Main texts of a segment's pages; ``shared`` has the pages of classes (``name, total``) that other segments of the host have too."""
+    pages, words, page_of, spans = _stream(frame)
+    start, _ = _suffixes(words, page_of, length)
+    n_pages = len(pages)
+    if shared is not None:
+        n_pages = int(frame["host_pages"].iloc[0])
+        known = shared.sort_values("name")
+        names, totals = known["name"].to_numpy(np.int64), known["total"].to_numpy(np.int64)
+        if len(names):
+            own = window_names(words, length)[: max(len(words) - length + 1, 0)]
+            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            start[: len(own)] = np.where(names[at] == own, totals[at], start[: len(own)])
+    support = covering(start, length)
+    many = max(least_pages, most * n_pages)
     out = []
     for blocks, own in zip(pages, spans):
         marked = any(z == MAIN for z, _ in blocks)
@@ -239,7 +293,7 @@ def main_text(
     """``page_id, url, text, n_chars, n_repeated`` for every page.
 
     A substring of ``length`` tokens is boilerplate if it stands on two pages of
-    the host's segment, and inside a marked article on ``most`` of them and on
+    the host, and inside a marked article on ``most`` of them and on
     ``least_pages`` at least.  ``n_repeated`` counts the page's tokens in
     substrings that another page repeats.  Null and empty pages have an empty
     text.  The host is the URL's, lower-cased; pages without one are a host
@@ -249,22 +303,29 @@ def main_text(
     id_type = pages.schema[page_id].dataType
     # as text, since a null among integers would make floating point of them in a task
     base = pages.select(F.col(page_id).cast("string").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    sizes = base.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
+    sizes = base.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"), F.count(F.lit(1)).alias("host_pages"))
     # only hosts of several segments; a written table, so that its size decides how it is joined
-    large = materialize(sizes.select("host", F.ceil(F.col("chars") / segment_chars).alias("n")).where("n > 1"))
+    large = materialize(sizes.select("host", F.ceil(F.col("chars") / segment_chars).alias("n"), "host_pages").where("n > 1"))
 
     @F.pandas_udf("string")
     def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(["\x1e".join(f"{z}\x1f{t}" for z, t in page_blocks(_plain(p))) for p in batch], dtype=object)
 
-    parsed = base.select("page_id", "url", "host", blocks("html").alias("blocks"), F.xxhash64("page_id", "url", "html").alias("h"))
-    placed = parsed.join(large, "host", "left")
-    segment = F.pmod(F.xxhash64("h"), F.coalesce("n", F.lit(1)))
-    placed = placed.select("page_id", "url", "blocks", F.xxhash64("host", segment).alias("segment"))
-    done = placed.groupBy("segment").applyInPandas(
-        lambda frame: _segment(frame, length, most, least_pages), "page_id string, url string, text string, n_repeated long"
-    )
+    own = F.xxhash64("page_id", "url", "html")
+    met = base.join(large, "host", "left")
+    segment = F.xxhash64("host", F.pmod(F.xxhash64(own), F.coalesce("n", F.lit(1)))).alias("segment")
+    held = lambda df, *more: df.select("page_id", "url", blocks("html").alias("blocks"), segment, *more)
+    schema = "page_id string, url string, text string, n_repeated long"
+    done = held(met.where("n is null")).groupBy("segment").applyInPandas(lambda frame: _segment(frame, length, most, least_pages), schema)
+    if large.limit(1).count():
+        parts = materialize(held(met.where("n is not null"), F.xxhash64("host").alias("host"), "host_pages"))
+        named = parts.groupBy("segment").applyInPandas(lambda frame: _classes(frame, length), "host long, segment long, name long, n long")
+        line = Window.partitionBy("host", "name")  # a row for each segment of a host at most
+        shared = named.select("segment", "name", F.sum("n").over(line).alias("total"), F.count(F.lit(1)).over(line).alias("_in"))
+        shared = shared.where("_in > 1").drop("_in")
+        merged = parts.groupBy("segment").cogroup(shared.groupBy("segment"))
+        done = done.unionByName(merged.applyInPandas(lambda frame, more: _segment(frame, length, most, least_pages, more), schema))
     return done.select(F.col("page_id").cast(id_type).alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 

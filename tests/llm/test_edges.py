@@ -91,3 +91,26 @@ def test_near_dedup_keeps_clashing_columns(spark):
     out = pipeline.near_dedup(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r._key) for r in out.collect()) == [(0, "k0"), (2, "k2"), (3, "k3")]
+
+
+def test_main_text_does_not_depend_on_the_segments_of_a_host(spark):
+    import random
+
+    from spanweave.llm import html_extract
+
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    twice = [words(20) for _ in range(10)]
+    often = words(15)
+    rows = []
+    for i in range(40):
+        body = f"<p>{words(30)}</p><p>{twice[i % 10] if i < 20 else words(9)}</p>" + (f"<p>{often}</p>" if i % 4 else "")
+        if i % 3 == 0:
+            body = f"<p>menu {words(5)}</p><article>{body}</article>"
+        rows.append((i, f"http://{'a' if i % 5 else 'b'}.example.com/{i}", f"<html><body>{body}</body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [
+        sorted(map(tuple, html_extract.main_text(pages, least_pages=8, segment_chars=size).collect())) for size in (6_000_000, 5_000, 600)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert not any(t in r[2] for r in found[0] for t in twice if r[0] % 3)  # stands on two unmarked pages, or beside a marked one
