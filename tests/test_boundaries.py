@@ -213,3 +213,28 @@ def test_no_frame_of_an_asof_join_is_read_again_for_each_row(spark):
     plan = asof.around(points, {"m": points}, ["chrom"])._jdf.queryExecution().optimizedPlan().toString()
     near = [line for line in plan.splitlines() if "_near_" in line and "Window" in line]
     assert near and not any("unboundedfollowing" in line.lower() for line in near)
+
+
+def test_raw_exons_lie_between_gaps(spark, monkeypatch):
+    from spanweave.operators import intervals
+
+    def unwanted(*_):
+        raise AssertionError("all covered stretches are sorted again")
+
+    monkeypatch.setattr(intervals, "islands", unwanted)
+    rng = random.Random(3)
+    rows = [(k, left, left + rng.randrange(9)) for k in "ab" for left in (rng.randrange(400) for _ in range(60))] + [("c", 7, 7)]
+    df = spark.createDataFrame(rows, "k string, left bigint, right bigint")
+    want = []
+    for k in "abc":
+        own = None
+        for _, left, right in sorted(r for r in rows if r[0] == k):
+            if own and left - own[1] < 5:
+                own[1] = max(own[1], right)
+            else:
+                own = [left, right]
+                want.append((k, own))
+    want = sorted((k, *own) for k, own in want)
+    for size in (4, 32, 1 << 16):
+        assert sorted(map(tuple, intervals.covered_stretches(df, ["k"], bin_size=size).collect())) == want
+    assert intervals.covered_stretches(df.limit(0), ["k"]).count() == 0
