@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import coverage, overlap_join
+from .pairs import paired
 
 
 def crossing_reads(sets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,6 +32,25 @@ def spanning_pairs(mates: DataFrame, exons: DataFrame, keys: Sequence[str]) -> D
     gaps = mates.where(end < start).select(
         *keys, "sample_id", F.when(F.size("near") > 1, end).otherwise(end + 1).alias("left"), F.when(F.size("far") > 1, start).otherwise(start - 1).alias("right")
     )
+    return spanned(gaps, exons, keys)
+
+
+def between_mates(touched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, sample_id, left, right``: the stretches between mates that :func:`spanning_pairs` counts.
+
+    ``touched`` has ``qname, read_id, left, right`` and the sorted ``exon_ids`` of every
+    read; mates only need their outer exons of each other, so no set is sent to its mate.
+    """
+    ends = touched.select(
+        "qname", "sample_id", *keys, "read_id", "left", "right", F.get("exon_ids", F.lit(0)).alias("first"), F.element_at("exon_ids", -1).alias("last"), (F.size("exon_ids") > 1).alias("many")
+    )
+    met = paired(ends, ["first", "many"]).where("last < mate_first")
+    left, right = F.col("last") + (~F.col("many")).cast("int"), F.col("mate_first") - (~F.col("mate_many")).cast("int")
+    return met.select(*keys, "sample_id", left.alias("left"), right.alias("right"))
+
+
+def spanned(gaps: DataFrame, exons: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, exon_id, sample_id, spanning``: how many ``gaps`` (``left, right``) hold each exon's start."""
     depth = coverage(gaps.where(F.col("left") <= F.col("right")), [*keys, "sample_id"])
     hit = overlap_join(exons.select(*keys, "exon_id").distinct(), depth, keys, ("exon_id", "exon_id"), ("start", "end"))
     return hit.select(*keys, "exon_id", "sample_id", F.col("depth").alias("spanning"))
@@ -38,6 +58,11 @@ def spanning_pairs(mates: DataFrame, exons: DataFrame, keys: Sequence[str]) -> D
 
 def evidence_index(sets: DataFrame, mates: DataFrame, exons: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Both counts for each exon and sample that has one of them: ``keys, exon_id, sample_id, crossing, spanning``."""
+    return counted_together(crossing_reads(sets, keys), spanning_pairs(mates, exons, keys), keys)
+
+
+def counted_together(crossing: DataFrame, spanning: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`evidence_index` of both counts."""
     by = [*keys, "exon_id", "sample_id"]
-    both = crossing_reads(sets, keys).join(spanning_pairs(mates, exons, keys), by, "full")
+    both = crossing.join(spanning, by, "full")
     return both.select(*by, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("crossing", "spanning")])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, reads, strands
+from ..operators import evidence, pairs, reads, strands
 from ..operators.tables import written
 from . import fixtures
-from .queries import ATOMS, KEYS, PAIRS, _atoms, _pairs, _pieces, aligned, query
+from .queries import ATOMS, KEYS, PAIRS, _cut_reads, aligned, query
 
 ROUTED = """
 , spans as materialized (
@@ -76,10 +76,8 @@ select coalesce(c.chrom, s.chrom) as chrom, coalesce(c.strand, s.strand) as stra
 from across c full join spanned s on s.chrom = c.chrom and s.strand = c.strand and s.exon_id = c.exon_id and s.sample_id = c.sample_id"""))
 def exon_evidence(spark, d):
     """Reads across each exon and pairs around it, per sample."""
-    atoms = written(_atoms(spark, d).select("read_id", "sample_id", *KEYS, "exon_ids"))
-    sets = atoms.groupBy(*KEYS, "exon_ids", "sample_id").agg(F.count(F.lit(1)).alias("n"))
-    near = atoms.select("read_id", F.col("exon_ids").alias("near"))
-    far = atoms.select(F.col("read_id").alias("mate_read_id"), F.col("exon_ids").alias("far"))
-    mates = _pairs(spark, d).join(near, "read_id").join(far, "mate_read_id")
-    exons = _pieces(spark, d)[0].select(*KEYS, F.col("start").alias("exon_id"))
-    return evidence.evidence_index(sets, mates, exons, KEYS)
+    parts, found = _cut_reads(spark, d, "qname")
+    ids = written(pairs.touched_exons(found, parts).withColumn("exon_ids", F.col("exons.exon_id")).drop("exons"))
+    crossing = evidence.crossing_reads(ids.withColumn("n", F.lit(1)), KEYS)
+    spanning = evidence.spanned(evidence.between_mates(ids, KEYS), parts.select(*KEYS, F.col("start").alias("exon_id")), KEYS)
+    return evidence.counted_together(crossing, spanning, KEYS)
