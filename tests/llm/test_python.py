@@ -120,6 +120,31 @@ def test_lm_pairs_are_exact(spark):
         assert got == {k: n for k, n in want.items() if k[0] == c and {(0, k[1]), (1, k[1])} <= folds}
 
 
+@pytest.mark.parametrize("sizes", [{"max_words": 30}, {"max_pairs": 20}, {"max_words": 40, "max_pairs": 0}, {"max_words": 0}])
+def test_lm_losses_do_not_depend_on_what_workers_hold(spark, sizes):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{min(rng.randrange(1, 400) for _ in range(3))}" for _ in range(rng.randrange(60))), i % 3 == 0) for i in range(120)]
+    rows += [(None, None, None), (7, "", True), (7, "w1 w2 w1 w2 strange w1", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean").withColumn("fold", lm_score.fold_of("doc_id"))
+    got = [
+        sorted(map(tuple, lm_score.score(docs, lm_score.fit(docs, **s)).select("doc_id", "text", "n_tokens", "target_loss", "background_loss").collect()), key=str)
+        for s in ({}, sizes)
+    ]
+    assert [r[:3] for r in got[0]] == [r[:3] for r in got[1]] and len(got[0]) == len(rows)
+    for a, b in zip(*got):
+        assert a[3:] == pytest.approx(b[3:], abs=1e-6)
+
+
+def test_lm_words_that_no_table_has_are_unknown(spark):
+    kept, gone = lm_score._far_id("kept"), lm_score._far_id("gone")
+    rows = spark.createDataFrame([(kept, 1, 10), (gone, 1, 20), (1, gone, 30), (kept, gone, 40), (2, kept, 50)], "a long, b long, n long")
+    got = lm_score._resolved(rows, spark.createDataFrame([(kept,)], "id long"), 5)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [(kept, 1, 10), (5, 1, 20), (1, 5, 30), (kept, 5, 40), (2, kept, 50)]
+    bits = lm_score._bit_table(rows, "a", "b")
+    one, two = np.array([1, 2, 2]), np.array([gone, kept, 1])
+    assert lm_score._may_have(bits, one, two).tolist() == [True, True, False] and sum(bin(x).count("1") for x in bits) == 5
+
+
 def test_top_k_against_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view embeddings as select * from '{DIR}/embeddings.parquet'")
