@@ -33,9 +33,11 @@ from .common import unused
 MARK = "▁"
 RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Runs kept in each of a worker's two tables (newer and older), and the longest run that is kept.
-KEPT_RUNS, KEPT_CHARS = 600_000, 48
+KEPT_RUNS, KEPT_CHARS = 150_000, 48
 #: Results of the neighbour check kept per worker.
-KEPT_PAIRS = 500_000
+KEPT_PAIRS = 200_000
+#: Characters of text whose results a worker holds before it gives them out.
+HELD_CHARS = 2_000_000
 NEVER = float("-inf")
 
 
@@ -51,7 +53,8 @@ class Runs(dict):
             got = self.make(run)
         if len(run) <= KEPT_CHARS:
             if len(self) >= KEPT_RUNS:
-                self.older = dict(self)
+                self.older.clear()  # before the copy, so that no third table is held
+                self.older.update(self)
                 self.clear()
             self[run] = got
         return got
@@ -306,6 +309,24 @@ def _model(data: bytes) -> PieceModel:
     return _models[key]
 
 
+def _coded_frames(model: PieceModel, texts: pd.Series, names: list[str]) -> Iterator[pd.DataFrame]:
+    """Results of the texts in order, given out after every ``HELD_CHARS`` characters."""
+    rows, held = [], 0
+    for t in texts:
+        joined, surface = model.coded(t)
+        n = joined.count(",") + 1 if joined else 0
+        row = [n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(surface.encode()).hexdigest()]
+        if len(names) > len(row):
+            row.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
+        rows.append(row)
+        held += len(t or "")
+        if held >= HELD_CHARS:
+            yield pd.DataFrame(rows, columns=names)
+            rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
 def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every text, decode the ids again, and add what came out.
 
@@ -321,22 +342,14 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", with_ids
     new = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
     if with_ids:
         new += ["token_ids array<int>"]
+    names = [x.split()[0] for x in new]
 
     @F.pandas_udf(", ".join(new))
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _model(data)
         for batch in batches:
-            rows = []
-            for t in batch:
-                joined, surface = model.coded(t)
-                n = joined.count(",") + 1 if joined else 0
-                row = [n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(surface.encode()).hexdigest()]
-                if with_ids:
-                    row.append(np.array(joined.split(",") if joined else [], dtype=np.int32))
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in new])
+            yield from _coded_frames(model, batch, names)
 
-    names = [x.split()[0] for x in new]
     own = unused(docs, "coded")
     out = docs.withColumn(own, coded(F.col(text)))
     return out.select(*[c for c in docs.columns if c not in names], *[F.col(own)[c].alias(c) for c in names])

@@ -91,6 +91,18 @@ def test_article_text_on_table(spark):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_sentencepiece_gives_results_out_in_parts(monkeypatch):
+    import pandas as pd
+
+    with open(queries.tokenizer_path(), "rb") as f:
+        model = spm.PieceModel(f.read())
+    monkeypatch.setattr(spm, "HELD_CHARS", 1000)
+    texts = ["some words " * (i % 90) for i in range(50)] + [None]
+    parts = list(spm._coded_frames(model, pd.Series(texts), ["n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]))
+    assert max(len(p) for p in parts) < 20 and sum(map(len, parts)) == 51
+    assert [len(i) for p in parts for i in p["token_ids"]] == [len(model.encode(t or "")) for t in texts]
+
+
 def test_lm_score(spark):
     good = ["the cat sat on the mat and the dog ran to the house"] * 20
     bad = ["lorem ipsum dolor sit amet consectetur adipiscing elit sed do"] * 60
