@@ -143,6 +143,29 @@ def test_recall_on_template_families(spark):
     assert len(twins) > 500 and found >= 0.95 * len(twins)
 
 
+def test_no_similar_pair_is_left_out(spark):
+    """Twins of all sizes just at the limit: none is lost to bands, minima or parity bits."""
+    rng = random.Random(8)
+    some = lambda n, chars="abcdefgh ": "".join(rng.choice(chars) for _ in range(n))
+    cut = lambda x: frozenset(x[i : i + 5] for i in range(len(x) - 4)) if len(x) >= 5 else frozenset([x])
+    texts = []
+    for n in [*range(1, 20), 24, 31, 32, 40, 50, 63, 64, *[70, 90, 110, 127, 128, 150, 200] * 40, 255, 256, 300, 520, 1100]:
+        texts.append(x := "x" + some(n + 3))
+        twin = list(x)
+        while True:  # replace letters while the two are similar
+            more = twin.copy()
+            more[rng.randrange(len(x))] = some(1, "uvwyz")
+            if len(cut(x) & cut("".join(more))) < 0.8 * len(cut(x) | cut("".join(more))):
+                break
+            twin = more
+        texts += ["".join(twin), x + some(len(x) // 5 - 1, "uvwyz")]
+    texts = list(dict.fromkeys(texts))
+    sets = [cut(x) for x in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = linked(spark, texts)
+    assert len(near) > 500 and [(i, j) for i, j in near if roots.get(i, -1) != roots.get(j, -2)] == []
+
+
 def test_line_dedup_handles_clashes_and_ids(spark):
     a, b = "The first of two sentences that somebody wrote down.", "Another line that has nothing to do with it at all."
     rows = [(None, f"{a}\n{b}", 1, 2, 3), (None, f"{b}\n{a}\nMore.", 1, 2, 3), (7, a, 1, 2, 3), (7, a, 1, 2, 3)]
