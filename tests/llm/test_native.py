@@ -166,6 +166,25 @@ def test_no_similar_pair_is_left_out(spark):
     assert len(near) > 500 and [(i, j) for i, j in near if roots.get(i, -1) != roots.get(j, -2)] == []
 
 
+def test_exact_join_goes_by_classes_and_deals_tokens_once(spark, monkeypatch):
+    """Twins on both sides of each power of two are found if every class is a round of its own, and a round shuffles its tokens once."""
+    rng = random.Random(9)
+    texts = []
+    for n in (7, 9, 15, 17, 31, 33, 62, 66, 126, 130):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(n + 3))
+        texts += ["x" + base, "x" + base + "".join(rng.choice("uvwyz") for _ in range(max(1, n // 8)))]
+    monkeypatch.setattr(line_dedup, "ROUND", 1)
+    lines = spark.createDataFrame([(i, x, i) for i, x in enumerate(texts)], "id long, line string, root long")
+    lines = lines.withColumn("m", F.size(line_dedup.hashes(F.col("line"))))
+    assert len(line_dedup._rounds(lines, 0.8)) >= 2
+    written, write = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df: written.append(df) or write(df))
+    found = {(r.a, r.b) for r in line_dedup._missed_pairs(lines, 0.8).collect()}
+    assert {(i, i + 1) for i in range(0, len(texts), 2)} <= found
+    tokens = [df for df in written if {"token", "most"} <= set(df.columns)]
+    assert tokens and all(str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1 for df in tokens)
+
+
 def test_line_dedup_handles_clashes_and_ids(spark):
     a, b = "The first of two sentences that somebody wrote down.", "Another line that has nothing to do with it at all."
     rows = [(None, f"{a}\n{b}", 1, 2, 3), (None, f"{b}\n{a}\nMore.", 1, 2, 3), (7, a, 1, 2, 3), (7, a, 1, 2, 3)]
