@@ -10,11 +10,15 @@ that might still hold an equal score is scored, so ties are exact.
 
 Queries and blocks meet in (query chunk, lane) cells of bounded size: a cell
 holds at most ``chunk`` queries and ``lane_blocks`` blocks, however large the
-table is.  The cells' lists, k rows per query each, are merged by rank.
+table is.  A few chunks of queries at a time are sent to where the lanes lie, so
+neither table is copied for the other's sake.  A task carries each query's list on
+from lane to lane; the tasks' lists, k rows per query each, are merged by rank.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Numbers of query vectors that are sent to all workers at once, in expectation (8 bytes each).
+SENT_NUMBERS = 2_000_000
+
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id, dim, v`` (array<long>) with each component as floor(scale * x).
@@ -46,8 +53,15 @@ def _scores(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return q @ m.T
 
 
-def best_in_lane(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> pd.DataFrame:
-    """The k best rows of a lane for every query, block by block.
+def no_rows(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of ``n`` empty lists."""
+    return np.full((n, k), np.iinfo(np.int64).min, np.int64), np.full((n, k), np.iinfo(np.int64).max, np.int64)
+
+
+def best_in_lane(
+    q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], best_s: np.ndarray, best_i: np.ndarray
+) -> None:
+    """Put the rows of a lane into every query's list of best rows, block by block.
 
     All queries of a chunk go through the blocks together: in step s each query
     visits its s-th best block, and leaves when its bound is below its kth score.
@@ -58,9 +72,7 @@ def best_in_lane(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray
     bound = np.maximum(qf, 0) @ hi.T + np.minimum(qf, 0) @ lo.T
     bound += np.abs(bound) * 1e-12 + 1e-6  # never below the exact sum
     order = np.argsort(-bound, axis=1, kind="stable")
-    none = np.iinfo(np.int64).min
-    best_s = np.full((len(q), k), none, np.int64)
-    best_i = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
+    none, k = np.iinfo(np.int64).min, best_s.shape[1]
     live = np.arange(len(q))
     for step in range(len(blocks)):
         nxt = order[live, step]
@@ -79,8 +91,12 @@ def best_in_lane(q_ids: np.ndarray, q: np.ndarray, blocks: list[tuple[np.ndarray
             take = _top(all_s, all_i, k)
             best_s[rows] = np.take_along_axis(all_s, take, axis=1)
             best_i[rows] = np.take_along_axis(all_i, take, axis=1)
+
+
+def listed(q_ids: np.ndarray, best_s: np.ndarray, best_i: np.ndarray) -> pd.DataFrame:
+    """The rows of the lists."""
     got = best_i != np.iinfo(np.int64).max
-    return pd.DataFrame({"query_id": np.repeat(q_ids, k).reshape(-1, k)[got], "vec_id": best_i[got], "score": best_s[got]})
+    return pd.DataFrame({"query_id": np.repeat(q_ids, best_i.shape[1]).reshape(best_i.shape)[got], "vec_id": best_i[got], "score": best_s[got]})
 
 
 def _top(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -121,12 +137,10 @@ def top_k(
         .groupBy("dim", "part")
         .applyInPandas(packed, "dim int, part long, q_ids binary, q_mat binary")
     )
-    # each cell gets its lane and its chunk by key; nothing is broadcast
-    index = materialize(index).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
-    asked = materialize(asked).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<long>")))
-    cells = index.join(asked, ["dim", "lane", "part"])
+    index, asked = materialize(index), materialize(asked)
 
     def search(batches):
+        held = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
                 q_ids = np.frombuffer(r.q_ids, "<i8")
@@ -134,12 +148,21 @@ def top_k(
                 ids = np.frombuffer(r.ids, "<i8")
                 mat = np.frombuffer(r.mat, "<i8").reshape(len(ids), r.dim)
                 cut = range(0, len(ids), block_rows)
-                yield best_in_lane(q_ids, q, [(ids[i : i + block_rows], mat[i : i + block_rows]) for i in cut], k)
+                _, *best = held.setdefault((r.dim, r.part), (q_ids, *no_rows(len(q_ids), k)))
+                best_in_lane(q_ids, q, [(ids[i : i + block_rows], mat[i : i + block_rows]) for i in cut], *best)
+        for lists in held.values():
+            yield listed(*lists)
 
-    found = cells.mapInPandas(search, "query_id long, vec_id long, score long")
+    width = asked.agg(F.max("dim")).first()[0] or 1
+    sent = max(1, SENT_NUMBERS // (chunk * width))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    out = []
+    for first in range(0, chunks, sent):
+        few = asked.where(F.col("part").between(first, first + sent - 1))
+        found = index.join(F.broadcast(few), "dim").mapInPandas(search, "query_id long, vec_id long, score long")
+        ranked = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        out.append(materialize(ranked.select("query_id", "rank", "vec_id", "score")))
+    return reduce(DataFrame.union, out)
 
 
 TOP_K_SQL = """

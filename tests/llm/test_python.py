@@ -175,6 +175,22 @@ def test_top_k_edges(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_sends_a_few_chunks_at_a_time(spark, monkeypatch):
+    """Neither table is copied for each part of the other, and lists are carried from lane to lane and merged between tasks."""
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-9, 9)) for _ in range(4)]) for i in range(400)]
+    v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), scale=1).repartition(3)
+    written, write = [], topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df: written.append((df, write(df))) or written[-1][1])
+    monkeypatch.setattr(topk, "SENT_NUMBERS", 3 * 2 * 4)
+    got = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 20 = 0"), block_rows=16, lane_blocks=2, chunk=3).collect()))
+    scored = lambda q: sorted((-sum(a * b for a, b in zip(rows[q][1], x, strict=True)), i) for i, x in rows if i != q)[:5]
+    assert got == [(q, n + 1, i, int(-s)) for q in range(0, 400, 20) for n, (s, i) in enumerate(scored(q))]
+    assert sum(df.count() for _, df in written[:2]) < 40 and len(written) == 2 + 4
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df, _ in written]
+    assert not any("explode" in p for p in plans)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     import sentencepiece
