@@ -1,10 +1,13 @@
 """Edge trimming against a walk over positions, and each limit by hand."""
 
+import os
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanweave.operators import trimming
+from spanweave.operators import tables, trimming
 from spanweave.operators.trimming import TrimLimits
 
 SMALL = TrimLimits(percent=40, low=2, high=8, least_max=4, report=4, cut=6, above=3)
@@ -106,3 +109,25 @@ def test_limits_by_hand(spark, exon_end, bounds, segs, expected):
     segs = [(k, a, min(b, exon_end)) for k, a, b in segs]
     found = run(spark, [("c", 1, exon_end)], bounds, segs, TrimLimits())
     assert sorted((r["start"], r["end"]) for r in found.collect()) == expected
+
+
+def test_written_steps_leave_no_shuffle_files(spark, monkeypatch):
+    """A step's shuffle files go once it is written, and a table's files when it is freed."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        names = {files.apply(i).getName() for i in range(files.size())}
+        return {n for n in names if n.startswith("shuffle_")}
+
+    was = held()
+    monkeypatch.setattr(tables, "CLEAN_SECONDS", 0.0)
+    table = tables.written(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(40):
+        if not held() - was:
+            break
+        time.sleep(0.5)
+    assert not held() - was and table.count() == 10
+    folder = {f.rsplit("/", 1)[0].removeprefix("file://") for f in table.inputFiles()}
+    tables.freed(table)
+    assert len(folder) == 1 and not any(os.path.exists(f) for f in folder)
