@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +90,29 @@ def cluster_positions(marks: Sequence[tuple[int, int]], merge: int = 1, least: i
     return sorted(out)
 
 
+def cluster_rows(rows: pd.DataFrame, keys: Sequence[str], merge: int = 1, least: int = 1) -> pd.DataFrame:
+    """Clustered positions ``keys, pos`` of many whole groups: rows with the keys, ``_no``, ``pos`` and ``n``."""
+    # groups stand together after sorting; those of one position are the most and need no cut
+    rows = rows.sort_values([*keys, "_no", "pos"], kind="stable", ignore_index=True)
+    opens = np.zeros(len(rows), bool)
+    opens[:1] = True
+    for c in [*keys, "_no"]:
+        now, was = rows[c], rows[c].shift()
+        opens |= ((now != was) & ~(now.isna() & was.isna())).to_numpy(bool)
+    first = np.flatnonzero(opens)
+    size = np.diff(np.append(first, len(rows)))
+    pos, n = rows["pos"].to_numpy(), rows["n"].to_numpy()
+    alone = first[size == 1]
+    alone = alone[n[alone] >= least]
+    at, found = [alone], [pos[alone]]
+    for i, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        means = cluster_positions(list(zip(pos[i : i + k].tolist(), n[i : i + k].tolist(), strict=True)), merge, least)
+        at.append(np.full(len(means), i))
+        found.append(np.array(means, pos.dtype))
+    out = rows.loc[np.concatenate(at).astype(np.int64), [*keys]].reset_index(drop=True)
+    return out.assign(pos=np.concatenate(found))
+
+
 def boundary_kmeans(marks: DataFrame, keys: Sequence[str], merge: int = 1, least: int = 1, bin_size: int = BIN) -> DataFrame:
     """Clustered boundary positions: ``keys, pos``.
 
@@ -106,10 +130,6 @@ def boundary_kmeans(marks: DataFrame, keys: Sequence[str], merge: int = 1, least
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for key, group in rows.sort_values("pos", kind="stable").groupby([*keys, "_no"], sort=False, dropna=False):
-            marks = list(zip(group["pos"].tolist(), group["n"].tolist(), strict=True))
-            found += [(*key[:-1], pos) for pos in cluster_positions(marks, merge, least)]
-        return pd.DataFrame(found, columns=[*keys, "pos"])
+        return cluster_rows(rows, keys, merge, least)
 
     return at.groupBy(F.pmod(F.xxhash64(*keys, "_no"), F.lit(tasks)).alias("_task")).applyInPandas(cluster, schema)

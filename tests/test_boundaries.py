@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 from itertools import combinations
 
+import pandas as pd
 import pytest
 
 from spanweave.operators import asof, chains, clusters
@@ -85,6 +86,16 @@ def test_clusters_of_a_long_run_take_linear_time():
     assert all(b - a > 1 for a, b in zip(found, found[1:], strict=False))
 
 
+def test_lone_positions_are_not_cut(monkeypatch):
+    """Only groups of several positions are cut one by one; null keys are a key of their own."""
+    rows = [(k, no, 1000 * no + i, 1 + no % 3) for k in ("a", None, "b") for no in range(9) for i in range(1 + 2 * (no == 4))]
+    cut, real = [], clusters.cluster_positions
+    monkeypatch.setattr(clusters, "cluster_positions", lambda *a: cut.append(a) or real(*a))
+    got = clusters.cluster_rows(pd.DataFrame(rows[::-1], columns=["k", "_no", "pos", "n"]), ["k"], 1, 2)
+    want = [(k, p) for k in ("a", None, "b") for no in range(9) for p in real([(r[2], r[3]) for r in rows if r[:2] == (k, no)], 1, 2)]
+    assert len(cut) == 3 and sorted(map(str, zip(got["k"].tolist(), got["pos"].tolist(), strict=True))) == sorted(map(str, want))
+
+
 def test_no_marks_give_no_clusters(spark):
     none = spark.createDataFrame([], "chrom string, pos long")
     assert clusters.boundary_kmeans(none, ["chrom"]).collect() == []
